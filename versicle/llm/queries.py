@@ -6,7 +6,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from versicle.llm import bpe, packing, simhash, vectors
+from versicle.llm import bpe, packing, quality, simhash, toxicity, vectors
+from versicle.llm.common import held_out
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -24,6 +25,19 @@ def op2_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(made.select("doc_id", "piece", "start", "length", F.crc32("ids").alias("ids_crc32")))
 
 
+def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    found = toxicity.score(docs, toxicity.fit(docs, _table(spark, sf_dir, "labels")))
+    return found.select("doc_id", held_out("doc_id").alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+
+
+def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    found = quality.score(docs, quality.fit(docs, _table(spark, sf_dir, "labels")))
+    good = F.col("score") >= 0.5
+    return found.select("doc_id", held_out("doc_id").alias("held_out"), "content_score", "meta_score", "score", good.cast("int").alias("predicted"), good.alias("kept"))
+
+
 def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = simhash.near_duplicates(_table(spark, sf_dir, "documents"))
     return found.select("doc_id", simhash.hex_digits("fp").alias("fingerprint"), "component_id")
@@ -34,7 +48,7 @@ def op9_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries():
-    return {f.__name__: f for f in (op1_byte_bpe, op2_packing, op8_simhash, op9_vectors)}
+    return {f.__name__: f for f in (op1_byte_bpe, op2_packing, op3_toxicity, op4_quality, op8_simhash, op9_vectors)}
 
 
 def oracle_sql() -> dict[str, str]:
