@@ -242,7 +242,8 @@ def score(docs: DataFrame, model: dict | None, id_col: str = "doc_id", text_col:
     names = [f"k{i}" for i in range(len(kept))]
     here = [c for c in meta_cols if c in docs.columns]
     meta = [f"m_{c}" for c in here]
-    rows = docs.select(*[F.col(c).alias(n) for c, n in zip(kept, names, strict=True)], *[F.col(c).alias(n) for c, n in zip(here, meta, strict=True)], F.col(text_col).alias("__text"))
+    rows = docs.select(*[F.col(c).alias(n) for c, n in zip(kept, names, strict=True)], *[F.col(c).alias(n) for c, n in zip(here, meta, strict=True)], *([] if text_col in kept else [F.col(text_col).alias("__text")]))
+    text = names[kept.index(text_col)] if text_col in kept else "__text"
     if not meta:
         meta, rows = ["__none"], rows.withColumn("__none", F.lit(None).cast("string"))
     fields = ", ".join(f"{n} {rows.schema[n].dataType.simpleString()}" for n in names)
@@ -258,7 +259,7 @@ def score(docs: DataFrame, model: dict | None, id_col: str = "doc_id", text_col:
         for batch in batches:
             odds = {name: np.zeros(batch.num_rows) for name in ("content", "meta")}
             if views:
-                for name, found in (("content", map(content, batch["__text"].to_pylist())), ("meta", (meta_features(m, bits) for m in batch.select(meta).to_pylist()))):
+                for name, found in (("content", map(content, batch[text].to_pylist())), ("meta", (meta_features(m, bits) for m in batch.select(meta).to_pylist()))):
                     dense, bias, slope, shift = views[name]
                     odds[name] = slope * np.array([float((dense[at] * values).sum()) + bias for at, values in found]) + shift
             prior = shared.value["prior"] if views else 0.0

@@ -28,8 +28,8 @@ from versicle.llm.ftrl import Ftrl, sigmoid, sparse
 
 BITS = 20
 TRAIN_ROWS = 20_000
-EPOCHS = 2
-ALPHA, BETA, L1, L2 = 0.15, 1.0, 2.0, 0.1
+EPOCHS = 4
+ALPHA, BETA, L1, L2 = 2.0, 1.0, 5.0, 0.05
 #: Odd multipliers that tell the kinds of features apart.
 _PAIR, _SKIP, _NEXT = np.uint32(0x9E3779B1), np.uint32(0x85EBCA77), np.uint32(0xC2B2AE3D)
 _WORD = re.compile(r"\w+")
@@ -116,7 +116,8 @@ def score(docs: DataFrame, model: tuple[np.ndarray, np.ndarray, float], id_col:
     shared = docs.sparkSession.sparkContext.broadcast(model)
     kept = keep or [id_col]
     names = [f"k{i}" for i in range(len(kept))]
-    rows = docs.select(*[F.col(c).alias(n) for c, n in zip(kept, names, strict=True)], F.col(text_col).alias("__text"))
+    rows = docs.select(*[F.col(c).alias(n) for c, n in zip(kept, names, strict=True)], *([] if text_col in kept else [F.col(text_col).alias("__text")]))
+    text = names[kept.index(text_col)] if text_col in kept else "__text"
     fields = ", ".join(f"{n} {rows.schema[n].dataType.simpleString()}" for n in names)
 
     def made(batches):
@@ -126,7 +127,7 @@ def score(docs: DataFrame, model: tuple[np.ndarray, np.ndarray, float], id_col:
         known = dense != 0
         features = Features(bits)
         for batch in batches:
-            rows, coordinates = features(batch["__text"].to_pylist())
+            rows, coordinates = features(batch[text].to_pylist())
             met = known[coordinates]
             keys = np.unique((rows[met].astype(np.int64) << bits) | coordinates[met])
             total = np.bincount(keys >> bits, dense[keys & ((1 << bits) - 1)], minlength=batch.num_rows)
