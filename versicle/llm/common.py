@@ -26,6 +26,12 @@ def ensure_checkpoint_dir(spark: SparkSession) -> None:
         spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="versicle-checkpoint-"))
 
 
+def checkpoint_dir(spark: SparkSession) -> str:
+    """The shared folder: Spark's own subfolder of it, once set."""
+    ensure_checkpoint_dir(spark)
+    return spark.sparkContext._jsc.sc().getCheckpointDir().get()
+
+
 def cut(df: DataFrame) -> DataFrame:
     """The same rows from shared, replicated storage: lineage ends here and lost executors cost nothing upstream."""
     ensure_checkpoint_dir(df.sparkSession)

@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from versicle.llm import bpe, packing, quality, simhash, toxicity, vectors
+from versicle.llm import bpe, packing, quality, rules, simhash, toxicity, vectors, wordpiece
 from versicle.llm.common import held_out
 
 
@@ -38,6 +38,10 @@ def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", held_out("doc_id").alias("held_out"), "content_score", "meta_score", "score", good.cast("int").alias("predicted"), good.alias("kept"))
 
 
+def op7_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rules.judge(_table(spark, sf_dir, "documents"))
+
+
 def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = simhash.near_duplicates(_table(spark, sf_dir, "documents"))
     return found.select("doc_id", simhash.hex_digits("fp").alias("fingerprint"), "component_id")
@@ -47,8 +51,12 @@ def op9_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
     return vectors.near_duplicates(_table(spark, sf_dir, "embeddings"))
 
 
+def op10_wordpiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return wordpiece.token_counts(_table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.tiktoken"))
+
+
 def queries():
-    return {f.__name__: f for f in (op1_byte_bpe, op2_packing, op3_toxicity, op4_quality, op8_simhash, op9_vectors)}
+    return {f.__name__: f for f in (op1_byte_bpe, op2_packing, op3_toxicity, op4_quality, op7_rules, op8_simhash, op9_vectors, op10_wordpiece)}
 
 
 def oracle_sql() -> dict[str, str]:

@@ -213,6 +213,15 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     return prints.join(labels, "fp").select(id_col, "fp", "component_id")
 
 
+def representatives(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", distance: int = DISTANCE) -> DataFrame:
+    """The rows of ``df``, all columns, whose id is the smallest of its group; rows of one id are one document."""
+    found = near_duplicates(df, id_col, text_col, distance)
+    kept = cut(found.where(F.col(id_col).eqNullSafe(F.col("component_id"))).groupBy(F.col(id_col).alias("__id")).agg(F.count("*").alias("__rows")))
+    rows = df.join(kept, F.col(id_col).eqNullSafe(F.col("__id")))
+    once = rows.where("__rows = 1").select(*df.columns)
+    return once.unionByName(rows.where("__rows > 1").dropDuplicates([id_col]).select(*df.columns))
+
+
 def hex_digits(column):
     """16 lower-case hex digits of a signed 64-bit column."""
     return F.lower(F.lpad(F.hex(column), 16, "0"))
