@@ -22,10 +22,11 @@ from functools import lru_cache
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from versicle.llm.common import PieceCache, bound_batches, cut
+from versicle.llm.common import ListTable, bound_batches, cut, split_words
 
 CAPACITY = 4096
 END_ID = 1
@@ -43,34 +44,48 @@ def _tokenizer(path: str):
     return Tokenizer.from_file(path)
 
 
+#: Latin letters whose lower case is one letter, between ASCII marks that neither begin a contraction nor a special
+#: token: the tokenizer takes the letters, and the marks on each side, as one match each.
+_PLAIN = r"^(?P<lead>[!-&(-/:;=-@\[-`{-~]*)(?P<core>[A-Za-zÀ-ÖØ-öø-įı-ɏ]+)(?P<trail>[!-&(-/:;=-@\[-`{-~]*)$"
+
+
+class Words:
+    """Ids of texts by their words: the tokenizer drops white space, so words are encoded apart, each
+    distinct one of a batch once. Letters are looked up in lower case without the marks around them;
+    what the table lacks is encoded in one call."""
+
+    def __init__(self, path: str, limit: int = 300_000):
+        self._tokenizer = _tokenizer(path)
+        self._whole, self._parts = ListTable(self._split, "<u4", limit), ListTable(self._encoded, "<u4", limit)
+
+    def _encoded(self, words: pa.StringArray) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of words, told apart by where in the joined text they stand."""
+        encoding = self._tokenizer.encode("\n".join(words.to_pylist()), add_special_tokens=False)
+        ids = np.array(encoding.ids, np.int64).astype("<u4")
+        begins = np.fromiter((o[0] for o in encoding.offsets), np.int64, len(ids))
+        return ids, np.searchsorted(begins, np.cumsum(pc.utf8_length(words).to_numpy(zero_copy_only=False).astype(np.int64) + 1))
+
+    def _split(self, words: pa.StringArray) -> tuple[np.ndarray, np.ndarray]:
+        found = pc.extract_regex(words, _PLAIN)
+        plain = found.is_valid()
+        lead, core, trail = (pc.fill_null(pc.struct_field(found, k), "") for k in range(3))
+        # A word that isn't plain is its own middle part.
+        middle = pc.if_else(plain, pc.utf8_lower(core), words)
+        parts = pa.concat_arrays([lead, middle, trail]).dictionary_encode()
+        order = parts.indices.to_numpy(zero_copy_only=False).reshape(3, len(words)).T.ravel()
+        ids, starts = self._parts.lists(parts.dictionary, order)
+        return ids, starts[3::3]
+
+    def __call__(self, texts: pa.StringArray) -> tuple[np.ndarray, np.ndarray]:
+        """All ids of the texts, and where each text's begin (and the last's end)."""
+        bounds, numbers, words = split_words(texts)
+        ids, starts = self._whole.lists(words, numbers)
+        return ids, starts[bounds]
+
+
 @lru_cache(maxsize=2)
-def _word_cache(path: str) -> PieceCache:
-    tokenizer = _tokenizer(path)
-    return PieceCache(lambda word: np.array(tokenizer.encode(word, add_special_tokens=False).ids, "<u4").tobytes())
-
-
-#: str.split() cuts at these as well, while the tokenizer's pattern keeps them.
-_NOT_SPACE = tuple("\x1c\x1d\x1e\x1f")
-
-
-def encode_words(texts: list[str], path: str) -> list[bytes]:
-    """Little-endian 32-bit ids of whole texts; the tokenizer drops white space, so words are encoded apart."""
-    tokenizer, cache = _tokenizer(path), _word_cache(path)
-    out = []
-    for text in texts:
-        if any(c in text for c in _NOT_SPACE):
-            out.append(np.array(tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes())
-            continue
-        words = text.split()
-        if missing := cache.lacks(words):
-            found = tokenizer.encode_batch(missing, add_special_tokens=False)
-            known = {w: np.array(e.ids, "<u4").tobytes() for w, e in zip(missing, found, strict=True)}
-            out.append(b"".join([known[w] if w in known else cache[w] for w in words]))
-            for word, ids in known.items():
-                cache.put(word, ids)
-        else:
-            out.append(b"".join([cache[w] for w in words]))
-    return out
+def _words(path: str) -> Words:
+    return Words(path)
 
 
 def pieces(
@@ -89,8 +104,9 @@ def pieces(
         end = np.array([end_id], "<u4").tobytes()
         for batch in batches:
             of, piece, start, parts = [], [], [], []
-            for row, ids in enumerate(encode_words(batch["text"].to_pylist(), tokenizer_path)):
-                ids += end
+            ids_of_all, bounds = _words(tokenizer_path)(batch["text"])
+            for row, (a, b) in enumerate(zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True)):
+                ids = ids_of_all[a:b].tobytes() + end
                 for k, at in enumerate(range(0, len(ids), 4 * capacity)):
                     of.append(row)
                     piece.append(k)
