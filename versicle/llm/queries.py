@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from versicle.llm import bpe, packing, quality, rules, simhash, toxicity, urls, vectors, wordpiece
+from versicle.llm import bpe, licenses, packing, quality, rules, simhash, toxicity, urls, vectors, wordpiece
 from versicle.llm.common import held_out
 
 
@@ -38,6 +38,10 @@ def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", held_out("doc_id").alias("held_out"), "content_score", "meta_score", "score", good.cast("int").alias("predicted"), good.alias("kept"))
 
 
+def op5_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scan(_table(spark, sf_dir, "documents"))
+
+
 def op6_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
     return urls.judge(_table(spark, sf_dir, "pages")).drop("template", "learnt")
 
@@ -60,8 +64,8 @@ def op10_wordpiece(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries():
-    return {f.__name__: f for f in (op1_byte_bpe, op2_packing, op3_toxicity, op4_quality, op6_urls, op7_rules, op8_simhash, op9_vectors, op10_wordpiece)}
+    return {f.__name__: f for f in (op1_byte_bpe, op2_packing, op3_toxicity, op4_quality, op5_licenses, op6_urls, op7_rules, op8_simhash, op9_vectors, op10_wordpiece)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op6_urls": urls.SQL}
+    return {"op5_licenses": licenses.sql(), "op6_urls": urls.SQL}
