@@ -35,18 +35,6 @@ class Ftrl:
         self.z[-1] += wrong - (np.sqrt(old + wrong**2) - np.sqrt(old)) / self.alpha * bias
         self.n[-1] = old + wrong**2
 
-    def state(self) -> bytes:
-        """The coordinates that have been met: 4 + 8 + 8 bytes for each."""
-        at = np.flatnonzero(self.n).astype("<u4")
-        return b"".join([np.array([len(at)], "<u4").tobytes(), at.tobytes(), self.z[at].tobytes(), self.n[at].tobytes()])
-
-    def load(self, state: bytes) -> Ftrl:
-        count = int(np.frombuffer(state, "<u4", 1)[0])
-        at = np.frombuffer(state, "<u4", count, 4)
-        self.z[at] = np.frombuffer(state, "<f8", count, 4 + 4 * count)
-        self.n[at] = np.frombuffer(state, "<f8", count, 4 + 12 * count)
-        return self
-
 
 def sigmoid(x):
     return 1.0 / (1.0 + np.exp(-np.clip(x, -35.0, 35.0)))

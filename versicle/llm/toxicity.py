@@ -3,10 +3,9 @@
 Every document is scored on its whole text. Features are the presence of words, neighbouring
 word pairs, and pairs that skip one word, hashed into ``2 ** BITS`` coordinates. The model
 learns from at most ``TRAIN_ROWS`` labelled documents outside the held-out fold, the ones
-with the smallest hash of their id: a bounded sample, streamed ``EPOCHS`` times through one
-task in hash order. The state between epochs and the weights have at most ``2 ** BITS``
-coordinates, so what reaches the driver and is broadcast is bounded at any corpus size;
-L1 makes the weights far fewer.
+with the smallest hash of their id: a bounded sample, which one task reads ``EPOCHS`` times in hash order. Weights have
+at most ``2 ** BITS`` coordinates, and L1 leaves few of them, so what reaches the driver and is
+broadcast is bounded at any corpus size.
 
 Defined cases: null and empty texts have no features and score the bias; where no labelled
 row may be learnt from, all score 0.5 less the least step (not toxic); conflicting labels of
@@ -23,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from versicle.llm.common import PieceCache, bound_batches, cut, held_out
+from versicle.llm.common import PieceCache, bound_batches, held_out
 from versicle.llm.ftrl import Ftrl, sigmoid, sparse
 
 BITS = 20
@@ -74,19 +73,22 @@ def _packed(bits: int):
     return made
 
 
-def _pass(bits: int, state: bytes | None):
-    """One epoch of learning; the state comes back as a row."""
+def _fitted(bits: int, epochs: int):
+    """All epochs of learning in the one task that holds the bounded sample; only weights that are not zero leave it."""
 
     def made(batches):
-        model = Ftrl(1 << bits, ALPHA, BETA, L1, L2)
-        if state is not None:
-            model.load(state)
-        seen = 0
+        labels, rows = [], []
         for batch in batches:
-            for label, at in zip(batch["label"].to_pylist(), batch["at"].to_pylist(), strict=True):
-                model.learn(np.frombuffer(at, "<u4"), 1.0, float(label))
-                seen += 1
-        yield pa.RecordBatch.from_arrays([pa.array([seen], pa.int64()), pa.array([model.state()], pa.binary())], ["seen", "state"])
+            labels += batch["label"].to_pylist()
+            rows += [np.frombuffer(at, "<u4") for at in batch["at"].to_pylist()]
+        if not rows:
+            return
+        model = Ftrl(1 << bits, ALPHA, BETA, L1, L2)
+        for _ in range(epochs):
+            for at, label in zip(rows, labels, strict=True):
+                model.learn(at, 1.0, float(label))
+        at, weights = sparse(model.weights(slice(0, 1 << bits)))
+        yield pa.RecordBatch.from_arrays([pa.array([model.bias()]), pa.array([at.astype("<i4").tobytes()], pa.binary()), pa.array([weights.astype("<f4").tobytes()], pa.binary())], ["bias", "at", "weights"])
 
     return made
 
@@ -100,14 +102,11 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     # At most train_rows rows of three numbers: bounded, whatever the corpus.
     texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     rows = texts.join(F.broadcast(usable), "id").select("rank", "label", "text")
-    rows = cut(rows.mapInArrow(_packed(bits), "rank long, label int, at binary").repartition(1).sortWithinPartitions("rank"))
-    state = None
-    for _ in range(epochs):
-        seen, state = rows.mapInArrow(_pass(bits, state), "seen long, state binary").orderBy(F.desc("seen")).first() or (0, None)
-        if not seen:
-            return np.empty(0, np.int32), np.empty(0, np.float32), -1e-6
-    model = Ftrl(1 << bits, ALPHA, BETA, L1, L2).load(bytes(state))
-    return *sparse(model.weights(slice(0, 1 << bits))), model.bias()
+    rows = rows.mapInArrow(_packed(bits), "rank long, label int, at binary").repartition(1).sortWithinPartitions("rank")
+    found = rows.mapInArrow(_fitted(bits, epochs), "bias double, at binary, weights binary").collect()
+    if not found:
+        return np.empty(0, np.int32), np.empty(0, np.float32), -1e-6
+    return np.frombuffer(found[0].at, "<i4"), np.frombuffer(found[0].weights, "<f4"), found[0].bias
 
 
 def score(docs: DataFrame, model: tuple[np.ndarray, np.ndarray, float], id_col: str = "doc_id", text_col: str = "text", bits: int = BITS, keep: list[str] | None = None) -> DataFrame:
