@@ -281,3 +281,13 @@ def test_lookup_without_targets_scans_everything(spark):
     rows = section(spark, [("a", "1.0", "h", None), ("b", "2.0", "h", None)])
     assert compare.in_targets(rows, None).count() == 2
     assert compare.in_targets(rows, rows.limit(0)).count() == 0
+
+
+def test_retrieval_hits_count_gold(spark):
+    questions = spark.createDataFrame([(1,), (2,), (3,)], "qid long")
+    gold = spark.createDataFrame([(1, 10), (1, 11), (1, 11), (2, 10)], "qid long, id long")
+    found = spark.createDataFrame([(1, 10), (1, 11), (1, 12), (3, 10)], "qid long, id long")
+    rows = {r.qid: (r.n_gold, r.hit) for r in evalkit.retrieval_hits(questions, gold, found).collect()}
+    assert rows == {1: (2, True), 2: (1, False), 3: (0, True)}
+    none = spark.createDataFrame([], "qid long, id long")
+    assert [(r.n_gold, r.hit) for r in evalkit.retrieval_hits(questions, none, none).collect()] == [(0, True)] * 3

@@ -13,6 +13,14 @@ def retrieval_hit(gold: Column, found: Column) -> Column:
     return F.size(F.array_except(gold, found)) == 0
 
 
+def retrieval_hits(questions: DataFrame, gold: DataFrame, found: DataFrame) -> DataFrame:
+    """``qid, n_gold, hit`` of every question by pairs ``qid, id``; the gold of a question is counted, not gathered, and may be of any size."""
+    marked = gold.select("qid", "id").distinct().join(found.select("qid", "id", F.lit(True).alias("met")).distinct(), ["qid", "id"], "left")
+    counts = marked.groupBy("qid").agg(F.count("*").alias("n"), F.count("met").alias("n_met"))
+    rows = questions.select("qid").join(counts, "qid", "left")
+    return rows.select("qid", F.coalesce("n", F.lit(0)).alias("n_gold"), F.coalesce(F.col("n") == F.col("n_met"), F.lit(True)).alias("hit"))
+
+
 def passes_gate(route_ok: Column, n_gold: Column, in_fused: Column, reranked: Column, in_top: Column) -> Column:
     """The route is right and, where there is gold, it is among the fused, and among the first if a reranker ranked them."""
     return route_ok & ((n_gold == 0) | (in_fused & (~reranked | in_top)))

@@ -13,7 +13,9 @@ from pyspark.sql import functions as F
 
 from versicle.functions import text as X
 from versicle.functions.versions import compare_versions, normalize_version, version_key
-from versicle.operators import answer, chunking, compare, dense, evalkit, fusion, index, lexical, question
+from versicle.functions.stem import with_stems
+from versicle.operators import answer, chunking, compare, dense, evalkit, fusion, index, lexical, providers, question
+from versicle.plans import retrieve
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -293,13 +295,18 @@ def question_filters(spark, sf_dir):
     return rows.select("qid", "policy", F.array_join("versions", ",").alias("versions"))
 
 
-@_query(f"""WITH {_UNIT}, scores AS (SELECT q.vec_id AS qid, round(max(CASE WHEN e.label = 0 THEN list_dot_product(q.u, e.u) END), 6) AS best_lookup, round(max(CASE WHEN e.label = 1 THEN list_dot_product(q.u, e.u) END), 6) AS best_compare
-  FROM units q JOIN units e ON e.label IN (0, 1) AND e.vec_id < 160 GROUP BY q.vec_id)
+_EXAMPLE = """means AS (SELECT label, i, avg(embedding[i]) AS m FROM embeddings, range(1, 65) r(i) GROUP BY label, i),
+examples AS (SELECT label, list(m ORDER BY i) AS v FROM means GROUP BY label)"""
+
+
+@_query(f"""WITH {_UNIT}, {_EXAMPLE}, scores AS (SELECT q.vec_id AS qid, round(max(CASE WHEN e.label % 2 = 0 THEN list_dot_product(q.u, e.v) / sqrt(list_dot_product(e.v, e.v)) END), 6) AS best_lookup,
+  round(max(CASE WHEN e.label % 2 = 1 THEN list_dot_product(q.u, e.v) / sqrt(list_dot_product(e.v, e.v)) END), 6) AS best_compare FROM units q CROSS JOIN examples e GROUP BY q.vec_id)
 SELECT *, CASE WHEN greatest(best_lookup, best_compare) < 0.5 THEN 'lookup' WHEN best_compare >= best_lookup + 0.02 THEN 'compare' ELSE 'lookup' END AS route FROM scores""")
 def route_nearest_example(spark, sf_dir):
-    """A stated list of labelled examples: vectors of the first ids under two labels."""
+    """The mean of each label's vectors is an example: as many as the table has classes."""
     rows = table(spark, sf_dir, "embeddings")
-    examples = rows.where("label IN (0, 1) AND vec_id < 160").select(F.when(F.col("label") == 0, "lookup").otherwise("compare").alias("kind"), F.col("embedding").alias("vector"))
+    means = rows.groupBy("label").agg(F.array(*[F.avg(F.get("embedding", F.lit(i))) for i in range(64)]).alias("vector"))
+    examples = means.select(F.when(F.col("label") % 2 == 0, "lookup").otherwise("compare").alias("kind"), "vector")
     return question.route_scores(rows.select(F.col("vec_id").alias("qid"), F.col("embedding").alias("vector")), examples)
 
 
@@ -341,17 +348,18 @@ def claim_support(spark, sf_dir):
 
 # ---- the index ---------------------------------------------------------------------------------
 
-_NEW = "now AS (SELECT doc_id, CASE WHEN doc_id % 7 = 0 THEN text || ' edited' ELSE text END AS text FROM documents WHERE doc_id % 11 <> 0)"
+_NEW = """old AS (SELECT doc_id, text FROM documents WHERE lang IS DISTINCT FROM 'es'),
+now AS (SELECT doc_id, CASE WHEN lang = 'de' THEN text || ' edited' ELSE text END AS text FROM documents WHERE lang IS DISTINCT FROM 'fr')"""
 
 
 def _editions(spark, sf_dir):
-    """The documents, and an edition of them where some have gone and some are edited."""
-    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    now = docs.where("doc_id % 11 <> 0").withColumn("text", F.when(F.col("doc_id") % 7 == 0, F.concat("text", F.lit(" edited"))).otherwise(F.col("text")))
-    return docs.where("doc_id % 13 <> 0"), now
+    """An edition of the documents before Spanish ones came, and one where French ones have gone and German ones are edited."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang", "source")
+    edited = F.when(F.col("lang") == "de", F.concat("text", F.lit(" edited"))).otherwise(F.col("text"))
+    return docs.where("lang IS DISTINCT FROM 'es'"), docs.where("lang IS DISTINCT FROM 'fr'").withColumn("text", edited)
 
 
-@_query(f"""WITH {_NEW}, old AS (SELECT doc_id, text FROM documents WHERE doc_id % 13 <> 0) SELECT coalesce(o.doc_id, n.doc_id)::VARCHAR AS name,
+@_query(f"""WITH {_NEW} SELECT coalesce(o.doc_id, n.doc_id)::VARCHAR AS name,
   CASE WHEN n.doc_id IS NULL THEN 'delete' WHEN o.doc_id IS NULL THEN 'add' WHEN sha256(o.text) = sha256(n.text) THEN 'skip' ELSE 'replace' END AS action FROM old o FULL JOIN now n ON o.doc_id = n.doc_id""")
 def file_diff_actions(spark, sf_dir):
     old, now = _editions(spark, sf_dir)
@@ -359,8 +367,8 @@ def file_diff_actions(spark, sf_dir):
     return index.diff_files(listed(now), listed(old))
 
 
-@_query(f"""WITH {_NEW}, old AS (SELECT DISTINCT sha256(text) AS h FROM documents WHERE doc_id % 13 <> 0) SELECT count(*) FILTER (h IS NOT NULL) AS reused, count(*) FILTER (h IS NULL) AS embedded,
-  count(DISTINCT CASE WHEN h IS NULL THEN sha256(text) END) AS calls FROM now LEFT JOIN old ON sha256(text) = h""")
+@_query(f"""WITH {_NEW}, known AS (SELECT DISTINCT sha256(text) AS h FROM old) SELECT count(*) FILTER (h IS NOT NULL) AS reused, count(*) FILTER (h IS NULL) AS embedded,
+  count(DISTINCT CASE WHEN h IS NULL THEN sha256(text) END) AS calls FROM now LEFT JOIN known ON sha256(text) = h""")
 def vector_reuse(spark, sf_dir):
     old, now = _editions(spark, sf_dir)
     hashed = lambda df: df.select(F.sha2("text", 256).alias("embed_sha256"), F.col("text").alias("embed_text"))
@@ -375,18 +383,19 @@ def stale_ids(spark, sf_dir):
     return index.delete(table(spark, sf_dir, "documents").select("doc_id"), now, "doc_id")
 
 
-@_query(f"WITH {_NEW} SELECT doc_id, sha256(text) AS text_sha256 FROM now UNION ALL SELECT doc_id, sha256(text) FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM now) AND doc_id % 13 <> 0 AND doc_id % 5 <> 0")
+@_query(f"WITH {_NEW} SELECT doc_id, sha256(text) AS text_sha256 FROM now UNION ALL SELECT doc_id, sha256(text) FROM documents WHERE lang = 'fr' AND source IS DISTINCT FROM 'src0'")
 def upsert_delete_result(spark, sf_dir):
     old, now = _editions(spark, sf_dir)
-    gone = old.where("doc_id % 5 = 0 AND doc_id % 11 = 0")
+    gone = old.where("lang = 'fr' AND source = 'src0'")
     return index.delete(index.upsert(old, now, "doc_id"), gone, "doc_id").select("doc_id", F.sha2("text", 256).alias("text_sha256"))
 
 
-@_query(f"WITH {_CHUNKS}, s AS (SELECT id FROM chunks WHERE doc_id % 17 <> 3) SELECT (SELECT count(*) FROM s) AS n_stored, 0 AS empty_files, 0 AS repeated_ids, count(*) FILTER (doc_id % 17 = 3) AS missing_ids, 0 AS extra_ids, false AS ok FROM chunks")
+@_query(f"""WITH {_CHUNKS} SELECT count(*) FILTER (source IS DISTINCT FROM 'src3') AS n_stored, 0 AS empty_files, 0 AS repeated_ids, count(*) FILTER (source = 'src3') AS missing_ids, 0 AS extra_ids, count(*) FILTER (source = 'src3') = 0 AND count(*) > 0 AS ok FROM chunks""")
 def index_integrity(spark, sf_dir):
+    """Each document is a file of one chunk; the store lacks those of a source."""
     rows = chunks(spark, sf_dir)
-    files = rows.groupBy(F.col("source").alias("name")).agg(F.collect_list("id").alias("chunk_ids"))
-    return index.integrity(rows.where("doc_id % 17 <> 3"), files)
+    files = rows.select(F.col("doc_id").cast("string").alias("name"), F.array("id").alias("chunk_ids"))
+    return index.integrity(rows.where("source IS DISTINCT FROM 'src3'"), files)
 
 
 # ---- answers and evaluation --------------------------------------------------------------------
@@ -400,11 +409,8 @@ def retrieval_eval(spark, sf_dir):
     items = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("qid"), F.col("text").alias("item"))
     docs = table(spark, sf_dir, "documents")
     # The items are the stated questions; every document is searched for each.
-    gold = docs.join(items, F.contains(F.col("text"), F.col("item"))).groupBy("qid").agg(F.collect_set("doc_id").alias("gold"))
-    found = lexical_topk(spark, sf_dir).groupBy("qid").agg(F.collect_set("id").alias("found"))
-    none = F.array().cast("array<bigint>")
-    rows = items.select("qid").join(gold, "qid", "left").join(found, "qid", "left")
-    return rows.select("qid", F.size(F.coalesce("gold", none)).alias("n_gold"), evalkit.retrieval_hit(F.coalesce("gold", none), F.coalesce("found", none)).alias("hit"))
+    gold = docs.join(F.broadcast(items), F.contains(F.col("text"), F.col("item"))).select("qid", F.col("doc_id").alias("id"))
+    return evalkit.retrieval_hits(items.select("qid"), gold, lexical_topk(spark, sf_dir).select("qid", "id"))
 
 
 @_query("""SELECT sum(CASE WHEN conv_id % 5 = 0 THEN 1 ELSE 0 END) AS misses, sum(CASE WHEN turn % 4 = 3 THEN 2 ELSE 0 END) AS inventions,
@@ -450,11 +456,15 @@ def parse_answers(spark, sf_dir):
 _STRIP = r"regexp_replace({0}, '^[\s\p{{Z}}\x{{85}}]+|[\s\p{{Z}}\x{{85}}]+$', '', 'g')"
 
 
-@_query(rf"""SELECT doc_id, CASE WHEN regexp_matches(s, '[.?!]\z') OR s = '' THEN s WHEN regexp_matches(b, '[.?!]\z') OR b = '' THEN b ELSE b || '.' END AS closed FROM (
-  SELECT doc_id, s, {_STRIP.format("regexp_replace(s, '[,;:]+$', '')")} AS b FROM (SELECT doc_id, {_STRIP.format("substring(text, 1, (40 + doc_id % 20)::INT)")} AS s FROM documents))""")
+_ENDS = [(-1, " a list of,;: "), (-2, "Is it?"), (-3, " "), (-4, "no end"), (-5, ";,"), (-6, "Done.")]
+_END_ROWS = ", ".join(f"({n}, '{t}')" for n, t in _ENDS)
+
+
+@_query(rf"""SELECT doc_id, sha256(CASE WHEN regexp_matches(s, '[.?!]\z') OR s = '' THEN s WHEN regexp_matches(b, '[.?!]\z') OR b = '' THEN b ELSE b || '.' END) AS closed_sha256 FROM (
+  SELECT doc_id, s, {_STRIP.format("regexp_replace(s, '[,;:]+$', '')")} AS b FROM (SELECT doc_id, {_STRIP.format("text")} AS s FROM (SELECT doc_id, text FROM documents UNION ALL VALUES {_END_ROWS})))""")
 def closed_sentences(spark, sf_dir):
-    head = F.substring(F.col("text"), F.lit(1), (40 + F.col("doc_id") % 20).cast("int"))
-    return table(spark, sf_dir, "documents").select("doc_id", X.with_period(head).alias("closed"))
+    rows = table(spark, sf_dir, "documents").select("doc_id", "text").unionByName(spark.createDataFrame(_ENDS, "doc_id long, text string"))
+    return rows.select("doc_id", F.sha2(X.with_period(F.col("text")), 256).alias("closed_sha256"))
 
 
 @_query("SELECT doc_id, version, CASE WHEN contains(version, '.') THEN version ELSE version || '.0' END AS normal, list_transform(string_split(CASE WHEN contains(version, '.') THEN version ELSE version || '.0' END, '.'), lambda p: p::INT)[1] AS major FROM (SELECT doc_id, CASE WHEN doc_id % 2 = 0 THEN (doc_id % 12)::VARCHAR ELSE (doc_id % 12) || '.' || (doc_id % 3) END AS version FROM documents)")
@@ -490,3 +500,106 @@ def chunk_split(spark, sf_dir):
     cut = chunking.split_long(table(spark, sf_dir, "documents").select("doc_id", "text"))
     return cut.select("doc_id", "ordinal", F.sha2("text", 256).alias("text_sha256"), X.estimate_tokens(F.col("text")).alias("tokens"))
 
+
+
+# ---- further operators -------------------------------------------------------------------------
+
+
+@_query("SELECT doc_id, array_to_string(list_filter(o, lambda x, k: x >= 0 AND x < 5 AND list_position(o, x) = k), ',') AS places FROM (SELECT doc_id, [doc_id % 7 - 2, doc_id % 5, 9, doc_id % 7 - 2, doc_id % 3] AS o FROM documents)")
+def order_places(spark, sf_dir):
+    """A reranker's places with repeats and places out of range."""
+    n = F.col("doc_id")
+    order = F.array(n % 7 - 2, n % 5, F.lit(9).cast("long"), n % 7 - 2, n % 3)
+    return table(spark, sf_dir, "documents").select("doc_id", F.array_join(providers.valid_order(order, F.lit(5)).cast("array<string>"), ",").alias("places"))
+
+
+_OVERLAP = "len(list_intersect(list_distinct(regexp_extract_all(lower(q.text), '[a-z0-9]+')), list_distinct(regexp_extract_all(lower(d.text), '[a-z0-9]+'))))"
+
+
+@_query(f"""WITH places AS (SELECT d.conv_id AS qid, row_number() OVER (PARTITION BY d.conv_id ORDER BY d.turn) - 1 AS place, {_OVERLAP} AS score
+  FROM conversations d JOIN conversations q ON q.conv_id = d.conv_id AND q.turn = 0 WHERE d.turn > 0)
+SELECT qid, place, row_number() OVER (PARTITION BY qid ORDER BY score DESC, place) AS rank FROM places QUALIFY rank <= 3""")
+def rerank_places(spark, sf_dir):
+    """The later turns of a conversation, reranked for its first; the three best are the operator's result."""
+    turns = table(spark, sf_dir, "conversations")
+    several = turns.where("turn > 0").groupBy("conv_id").agg(answer.in_order(F.col("text"), F.col("turn")).alias("texts"))
+    asked = several.join(turns.where("turn = 0").select("conv_id", F.col("text").alias("question")), "conv_id")
+    ordered = asked.select(F.col("conv_id").alias("qid"), providers.rerank(F.col("question"), F.col("texts"), providers.OverlapReranker)["order"].alias("order"))
+    return ordered.select("qid", F.posexplode("order").alias("at", "place")).select("qid", "place", (F.col("at") + 1).alias("rank"))
+
+
+@_query(f"""WITH {_CHUNKS} SELECT doc_id, CASE WHEN version = '9.0' THEN 'missing field: section' WHEN policy = 'de' THEN 'missing field: parent_id' WHEN source = 'src2' THEN 'missing field: source' END AS error FROM chunks""")
+def record_errors(spark, sf_dir):
+    """Blank and null fields in records of one version, language and source."""
+    rows = chunks(spark, sf_dir).withColumns({
+        "section": F.when(F.col("version") == "9.0", "  ").otherwise(F.col("section")),
+        "parent_id": F.when(F.col("policy") != "de", F.concat_ws("|", "policy", "version")),
+        "source": F.when(F.col("source") == "src2", "").otherwise(F.col("source")),
+    })
+    return retrieve.validate(rows).select("doc_id", "error")
+
+
+@_query("""SELECT doc_id, CASE WHEN titled THEN lang || ' Policy' ELSE lang END AS policy, CASE WHEN titled THEN (doc_id % 4) || '.1' ELSE (doc_id % 3) || '.0' END AS version,
+  CASE WHEN titled THEN 'version mismatch: title says ' || (doc_id % 4) || '.1, filename says ' || (doc_id % 3) || '.0' END AS error FROM (SELECT doc_id, lang, source <> 'src1' AS titled FROM documents)""")
+def title_lines(spark, sf_dir):
+    """A title before each text, but for one source; the file's name always says another version."""
+    docs = table(spark, sf_dir, "documents")
+    title = F.concat("lang", F.lit(" Policy — Version "), (F.col("doc_id") % 4).cast("string"), F.lit(".1"))
+    lines = F.concat(F.when(F.col("source") != "src1", F.array(F.lit(""), title)).otherwise(F.array().cast("array<string>")), F.split("text", "\n"))
+    stem = F.concat(F.lit("Acme - "), "lang", F.lit(" v"), (F.col("doc_id") % 3).cast("string"))
+    policy, version, error = chunking.policy_and_version(lines, stem)
+    return docs.select("doc_id", policy.alias("policy"), version.alias("version"), error.alias("error"))
+
+
+@_query(f"""WITH {_CHUNKS}, {_PAIRS} SELECT coalesce(previous_id, current_id) AS id, CASE WHEN current_id IS NULL THEN 'Removed' ELSE 'Added' END || ' in version 10.0: ' || title AS note FROM pairs WHERE previous_id IS NULL OR current_id IS NULL""")
+def missing_side_notes(spark, sf_dir):
+    """Each one-sided pair is cited by its side."""
+    pairs = _pairs(spark, sf_dir)
+    own = F.coalesce("previous.id", "current.id")
+    note = answer.missing_side_note(F.col("previous"), F.col("current"), F.col("heading_path"), F.lit("10.0"), F.array(own))
+    return pairs.select(own.alias("id"), note.alias("note")).where("note IS NOT NULL")
+
+
+def _side_sql(side: str, version: str) -> str:
+    return f"""CASE WHEN {side}.id IS NULL THEN '<missing version="{version}"/>' ELSE '<source id="' || {_ATT.format(side + '.id')} || '" policy="' || {_ATT.format(side + '.policy')} || '" version="{version}" section="' || {_ATT.format(side + '.heading_path')} || '">' || chr(10) || {_ESC.format(side + '.text')} || chr(10) || '</source>' END"""
+
+
+@_query(f"""WITH {_CHUNKS}, o AS (SELECT * FROM chunks WHERE version = '9.0'), n AS (SELECT * FROM chunks WHERE version = '10.0')
+SELECT o.id AS previous_id, n.id AS current_id, sha256('<pair section="' || coalesce(n.heading_path, o.heading_path) || '">' || chr(10) || {_side_sql('o', '9.0')} || chr(10) || {_side_sql('n', '10.0')} || chr(10) || '</pair>') AS tag_sha256,
+  sha256(coalesce(n.heading_path, o.heading_path) || chr(10) || CASE WHEN n.id IS NULL THEN 'current' ELSE 'current 10.0' || chr(10) || n.text END || chr(10) || CASE WHEN o.id IS NULL THEN 'previous' ELSE 'previous 9.0' || chr(10) || o.text END) AS text_sha256
+FROM o FULL JOIN n ON o.policy = n.policy AND o.heading_path = n.heading_path AND o.ordinal = n.ordinal""")
+def pair_prompts(spark, sf_dir):
+    pairs = _pairs(spark, sf_dir)
+    old, new, path = F.col("previous"), F.col("current"), F.col("heading_path")
+    tag = answer.pair_tag(path, F.col("policy"), old, new, F.lit("9.0"), F.lit("10.0"))
+    return pairs.select(old["id"].alias("previous_id"), new["id"].alias("current_id"), F.sha2(tag, 256).alias("tag_sha256"), F.sha2(answer.pair_text(path, old, new), 256).alias("text_sha256"))
+
+
+_CLOSED = f"CASE WHEN regexp_matches(s, '[.?!]\\z') OR s = '' THEN s WHEN regexp_matches({_STRIP.format("regexp_replace(s, '[,;:]+$', '')")}, '[.?!]\\z') THEN {_STRIP.format("regexp_replace(s, '[,;:]+$', '')")} ELSE {_STRIP.format("regexp_replace(s, '[,;:]+$', '')")} || '.' END"
+
+
+@_query(f"""WITH said AS (SELECT conv_id, string_agg({_CLOSED}, ' ' ORDER BY turn) AS body FROM (SELECT conv_id, turn, {_STRIP.format('text')} AS s FROM conversations) GROUP BY conv_id),
+cited AS (SELECT conv_id, role, row_number() OVER (PARTITION BY conv_id ORDER BY min(turn)) AS n FROM conversations GROUP BY conv_id, role),
+listed AS (SELECT conv_id, string_agg('[' || n || '] chat 1.0, ' || role, chr(10) ORDER BY n) AS sources FROM cited GROUP BY conv_id)
+SELECT conv_id AS qid, sha256(body || chr(10) || chr(10) || 'Sources' || chr(10) || sources) AS printed_sha256 FROM said JOIN listed USING (conv_id)""")
+def rendered_answers(spark, sf_dir):
+    """A conversation is an answer to a comparison, where repeated claims stay; its roles are the sources."""
+    turns = table(spark, sf_dir, "conversations").withColumnRenamed("conv_id", "qid")
+    claims = turns.groupBy("qid").agg(answer.in_order(F.struct("text", F.col("role").alias("chunk_id")), F.col("turn")).alias("claims"))
+    answers = claims.select("qid", F.lit("compare").alias("kind"), F.lit("answered").alias("status"), "claims", F.array().cast("array<string>").alias("notes"))
+    sources = turns.select("qid", F.col("role").alias("chunk_id"), F.lit("chat").alias("policy"), F.lit("1.0").alias("version"), F.col("role").alias("heading_path")).distinct()
+    return answer.render(answers, sources).select("qid", F.sha2("printed", 256).alias("printed_sha256"))
+
+
+@_query()
+def stems(spark, sf_dir):
+    """Stems of all terms; tests compare known words."""
+    terms = lexical.postings(table(spark, sf_dir, "documents"), "doc_id").groupBy("term").agg(F.count("*").alias("df"))
+    return with_stems(terms).select("term", "stem", "df")
+
+
+@_query()
+def question_search_text(spark, sf_dir):
+    """Questions without what names their filters; RE2 has no look-behind, tests compare fixed questions."""
+    cleaned = _questions(spark, sf_dir).select("qid", question.clean_question(F.col("text")).alias("question"))
+    return question.extract_filters(cleaned, compare.catalog(chunks(spark, sf_dir)), _ALIASES).select("qid", "search_text")
