@@ -5,6 +5,7 @@ import os
 
 import duckdb
 import pytest
+from pyspark.sql import functions as F
 
 import corpus_pipeline
 from versicle.llm import packing, queries, simhash
@@ -66,6 +67,23 @@ def test_pipeline_stages(spark, tmp_path):
     assert 0 < clean and corpus_pipeline.run(spark, SF).count() == len(packed)
 
 
+def test_pipeline_with_clashing_names_and_odd_rows(spark, tmp_path):
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    odd = [(None, None, None, None, None), (900001, None, "en", "src0", 0), (900002, "", None, None, None), (900003, " \n", "en", "src1", 2), (900003, " \n", "en", "src1", 2), (900004, "ab " * 50_000, "de", "src2", 150_000)]
+    docs = docs.unionByName(spark.createDataFrame(odd, docs.schema))
+    extra = ["score", "content_score", "meta_score", "k0", "m_lang", "id", "rows", "component_id", "fp", "__text", "__id", "__rows", "label", "rank", "piece", "length", "ids", "sequence_id"]
+    for name, table in (("plain", docs), ("wide", docs.select("*", *[F.lit(n).alias(c) for n, c in enumerate(extra)]))):
+        table.write.parquet(str(tmp_path / name / "documents.parquet"))
+        spark.read.parquet(f"{SF}/labels.parquet").write.parquet(str(tmp_path / name / "labels.parquet"))
+    plain, wide = (spark.read.parquet(str(tmp_path / name / "documents.parquet")) for name in ("plain", "wide"))
+    for name, stage in corpus_pipeline.STAGES[:3]:
+        rows = stage(spark, wide, SF)
+        assert rows.columns == wide.columns
+        assert sorted(map(str, rows.select(*plain.columns).collect())) == sorted(map(str, stage(spark, plain, SF).collect()))
+    found = [corpus_pipeline.run(spark, str(tmp_path / name)).select("doc_id", "piece", "length").collect() for name in ("plain", "wide")]
+    assert sorted(map(str, found[0])) == sorted(map(str, found[1])) != []
+
+
 def test_pipeline_on_an_empty_table(spark):
     docs = spark.read.parquet(f"{SF}/documents.parquet").limit(0)
     for _, stage in corpus_pipeline.STAGES:

@@ -19,10 +19,11 @@ from __future__ import annotations
 
 import json
 import zlib
+from collections.abc import Callable
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from versicle.llm.common import PieceCache, bound_batches, cut, held_out
@@ -234,11 +235,10 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     return model
 
 
-def score(docs: DataFrame, model: dict | None, id_col: str = "doc_id", text_col: str = "text", meta_cols=META_COLUMNS, bits: int = BITS, keep: list[str] | None = None) -> DataFrame:
-    """``id_col`` (or ``keep``), ``content_score``, ``meta_score`` and their combined ``score``, 0 to 1, for every row."""
+def _scored(docs: DataFrame, model: dict | None, kept: list[str], text_col: str, meta_cols, bits: int) -> DataFrame:
+    """Columns ``kept`` of every row as ``k0, k1, ...`` and its three scores, so that no name of the table can clash."""
     bound_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(model)
-    kept = keep or [id_col]
     names = [f"k{i}" for i in range(len(kept))]
     here = [c for c in meta_cols if c in docs.columns]
     meta = [f"m_{c}" for c in here]
@@ -266,5 +266,16 @@ def score(docs: DataFrame, model: dict | None, id_col: str = "doc_id", text_col:
             scores = [sigmoid(odds["content"]), sigmoid(odds["meta"]), sigmoid(odds["content"] + odds["meta"] - prior)]
             yield pa.RecordBatch.from_arrays([*[batch[n] for n in names], *map(pa.array, scores)], [*names, "content_score", "meta_score", "score"])
 
-    scored = rows.mapInArrow(made, f"{fields}, content_score double, meta_score double, score double")
-    return scored.select(*[F.col(n).alias(c) for n, c in zip(names, kept, strict=True)], "content_score", "meta_score", "score")
+    return rows.mapInArrow(made, f"{fields}, content_score double, meta_score double, score double")
+
+
+def score(docs: DataFrame, model: dict | None, id_col: str = "doc_id", text_col: str = "text", meta_cols=META_COLUMNS, bits: int = BITS, keep: list[str] | None = None) -> DataFrame:
+    """``id_col`` (or ``keep``), ``content_score``, ``meta_score`` and their combined ``score``, 0 to 1, for every row."""
+    kept = keep or [id_col]
+    return _scored(docs, model, kept, text_col, meta_cols, bits).select(*[F.col(f"k{i}").alias(c) for i, c in enumerate(kept)], "content_score", "meta_score", "score")
+
+
+def rows_where(docs: DataFrame, model: dict | None, passes: Callable[[Column], Column], text_col: str = "text", meta_cols=META_COLUMNS, bits: int = BITS) -> DataFrame:
+    """The rows of ``docs``, all columns whatever their names, whose score passes."""
+    found = _scored(docs, model, docs.columns, text_col, meta_cols, bits).where(passes(F.col("score")))
+    return found.select(*[F.col(f"k{i}").alias(c) for i, c in enumerate(docs.columns)])

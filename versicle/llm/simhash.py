@@ -216,10 +216,12 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
 def representatives(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", distance: int = DISTANCE) -> DataFrame:
     """The rows of ``df``, all columns, whose id is the smallest of its group; rows of one id are one document."""
     found = near_duplicates(df, id_col, text_col, distance)
-    kept = cut(found.where(F.col(id_col).eqNullSafe(F.col("component_id"))).groupBy(F.col(id_col).alias("__id")).agg(F.count("*").alias("__rows")))
-    rows = df.join(kept, F.col(id_col).eqNullSafe(F.col("__id")))
-    once = rows.where("__rows = 1").select(*df.columns)
-    return once.unionByName(rows.where("__rows > 1").dropDuplicates([id_col]).select(*df.columns))
+    kept = cut(found.where(F.col(id_col).eqNullSafe(F.col("component_id"))).groupBy(F.col(id_col).alias("id")).agg(F.count("*").alias("rows")))
+    numbered = df.toDF(*[f"k{i}" for i in range(len(df.columns))])  # no name of the table can clash
+    own = f"k{df.columns.index(id_col)}"
+    rows = numbered.join(kept, F.col(own).eqNullSafe(F.col("id")))
+    once = rows.where("rows = 1").select(*numbered.columns)
+    return once.unionByName(rows.where("rows > 1").dropDuplicates([own]).select(*numbered.columns)).toDF(*df.columns)
 
 
 def hex_digits(column):

@@ -16,10 +16,11 @@ from __future__ import annotations
 
 import re
 import zlib
+from collections.abc import Callable
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from versicle.llm.common import PieceCache, bound_batches, held_out
@@ -110,11 +111,10 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     return np.frombuffer(found[0].at, "<i4"), np.frombuffer(found[0].weights, "<f4"), found[0].bias
 
 
-def score(docs: DataFrame, model: tuple[np.ndarray, np.ndarray, float], id_col: str = "doc_id", text_col: str = "text", bits: int = BITS, keep: list[str] | None = None) -> DataFrame:
-    """``id_col, score double`` (or ``keep`` and ``score``) of every row by its whole text."""
+def _scored(docs: DataFrame, model: tuple[np.ndarray, np.ndarray, float], kept: list[str], text_col: str, bits: int) -> DataFrame:
+    """Columns ``kept`` of every row as ``k0, k1, ...`` and its ``score``, so that no name of the table can clash."""
     bound_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(model)
-    kept = keep or [id_col]
     names = [f"k{i}" for i in range(len(kept))]
     rows = docs.select(*[F.col(c).alias(n) for c, n in zip(kept, names, strict=True)], *([] if text_col in kept else [F.col(text_col).alias("__text")]))
     text = names[kept.index(text_col)] if text_col in kept else "__text"
@@ -133,5 +133,16 @@ def score(docs: DataFrame, model: tuple[np.ndarray, np.ndarray, float], id_col:
             total = np.bincount(keys >> bits, dense[keys & ((1 << bits) - 1)], minlength=batch.num_rows)
             yield pa.RecordBatch.from_arrays([*[batch[n] for n in names], pa.array(sigmoid(total + bias))], [*names, "score"])
 
-    scored = rows.mapInArrow(made, f"{fields}, score double")
-    return scored.select(*[F.col(n).alias(c) for n, c in zip(names, kept, strict=True)], "score")
+    return rows.mapInArrow(made, f"{fields}, score double")
+
+
+def score(docs: DataFrame, model: tuple[np.ndarray, np.ndarray, float], id_col: str = "doc_id", text_col: str = "text", bits: int = BITS, keep: list[str] | None = None) -> DataFrame:
+    """``id_col, score double`` (or ``keep`` and ``score``) of every row by its whole text."""
+    kept = keep or [id_col]
+    return _scored(docs, model, kept, text_col, bits).select(*[F.col(f"k{i}").alias(c) for i, c in enumerate(kept)], "score")
+
+
+def rows_where(docs: DataFrame, model: tuple[np.ndarray, np.ndarray, float], passes: Callable[[Column], Column], text_col: str = "text", bits: int = BITS) -> DataFrame:
+    """The rows of ``docs``, all columns whatever their names, whose score passes."""
+    found = _scored(docs, model, docs.columns, text_col, bits).where(passes(F.col("score")))
+    return found.select(*[F.col(f"k{i}").alias(c) for i, c in enumerate(docs.columns)])
