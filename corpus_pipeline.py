@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from versicle.llm import packing, quality, simhash, toxicity
+from versicle.llm import packing, quality, shingles, simhash, toxicity
 from versicle.llm.common import checkpoint_dir
 
 
@@ -25,8 +25,8 @@ def good_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document with the smallest id of each group of near-duplicates; rows of one id are one document."""
-    return simhash.representatives(docs)
+    """The document with the smallest id of each group of near-duplicates (five-word shingles, similarity 0.8); rows of one id are one document."""
+    return simhash.representatives(docs, found=shingles.near_duplicates(docs))
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -213,9 +213,12 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     return prints.join(labels, "fp").select(id_col, "fp", "component_id")
 
 
-def representatives(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", distance: int = DISTANCE) -> DataFrame:
-    """The rows of ``df``, all columns, whose id is the smallest of its group; rows of one id are one document."""
-    found = near_duplicates(df, id_col, text_col, distance)
+def representatives(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", distance: int = DISTANCE, found: DataFrame | None = None) -> DataFrame:
+    """The rows of ``df``, all columns, whose id is the smallest of its group; rows of one id are one document.
+
+    Groups are those of ``found(id_col, component_id)`` where it is given.
+    """
+    found = near_duplicates(df, id_col, text_col, distance) if found is None else found
     kept = cut(found.where(F.col(id_col).eqNullSafe(F.col("component_id"))).groupBy(F.col(id_col).alias("id")).agg(F.count("*").alias("rows")))
     numbered = df.toDF(*[f"k{i}" for i in range(len(df.columns))])  # no name of the table can clash
     own = f"k{df.columns.index(id_col)}"
