@@ -111,6 +111,13 @@ def lexical_topk(spark, sf_dir):
     return lexical.lexical_topk(asked, table(spark, sf_dir, "documents"), id_col="doc_id")
 
 
+@_query()
+def lexical_topk_stemmed(spark, sf_dir):
+    """Terms meet by their stems; SQL cannot stem, tests compare with brute force."""
+    asked = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("qid"), F.col("text").alias("search_text"))
+    return lexical.lexical_topk(asked, table(spark, sf_dir, "documents"), id_col="doc_id", stemmed=True)
+
+
 _BY_VERSION = _bm25("SELECT policy || ' ' || version AS target, id, text FROM chunks", "id", "", "SELECT item_id AS qid, text, 'en ' || v AS target FROM benchmark, (VALUES ('9.0'), ('10.0')) x(v)")
 
 

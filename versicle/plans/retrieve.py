@@ -44,7 +44,7 @@ def lookup(questions: DataFrame, chunks: DataFrame, vectors: DataFrame, targets:
     pairs = targets.join(chunks.select("policy", "version", "id", "embed_text"), ["policy", "version"])
     by_question = pairs.select("id", "embed_text", F.col("qid").alias("target"))
     asked = questions.select("qid", F.col("qid").alias("target"), "search_text")
-    words = lexical.lexical_topk(asked, by_question, text_col="embed_text", target_col="target")
+    words = lexical.lexical_topk(asked, by_question, text_col="embed_text", target_col="target", stemmed=True)
     held = by_question.select("id", "target").join(vectors, "id")
     near = dense.dense_topk(questions.select("qid", F.col("qid").alias("target"), "vector"), held, target_col="target")
     fused = fusion.rrf_fuse(near, words).join(chunks.select("id", "embed_text"), "id")
@@ -109,7 +109,7 @@ def compare_hits(questions: DataFrame, chunks: DataFrame, vectors: DataFrame, re
     target = F.concat_ws("|", F.col("qid").cast("string"), F.col("side").cast("string"))
     sides = sides.withColumn("target", target)
     held = sides.select("target", "policy", "version").join(chunks, ["policy", "version"])
-    words = lexical.bm25(sides.select(F.col("target").alias("qid"), "target", "search_text"), held, text_col="embed_text", target_col="target")
+    words = lexical.bm25(sides.select(F.col("target").alias("qid"), "target", "search_text"), held, text_col="embed_text", target_col="target", stemmed=True)
     words = lexical.ranked(words, ["qid"], [F.desc("score"), F.asc("id")])
     near = dense.dense_topk(sides.select(F.col("target").alias("qid"), "target", "vector"), held.select("id", "target").join(vectors, "id"), target_col="target")
     fused = fusion.rrf_fuse(near, words).withColumn("side", F.element_at(F.split("qid", r"\|"), -1)).withColumn("qid", F.regexp_replace("qid", r"\|[01]$", "").cast(questions.schema["qid"].dataType))
