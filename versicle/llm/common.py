@@ -17,30 +17,42 @@ BATCH_BYTES = 4 << 20
 
 
 def bound_batches(spark: SparkSession) -> None:
-    """Bound what a Python worker receives at once, so that long texts cannot pile up in one batch."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
-    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
+    """Bound what a Python worker receives at once, so that long texts cannot pile up in one batch.
 
-
-def ensure_checkpoint_dir(spark: SparkSession) -> None:
-    """Keep the folder the cluster names in ``spark.checkpoint.dir``; set one only where none is set (tests)."""
-    named = spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
-    if named is None and spark.sparkContext._jsc.sc().getCheckpointDir().isEmpty():
-        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="versicle-checkpoint-"))
+    The session's bounds are lowered to these and stay so, as plans read them when they run; lower ones are kept.
+    """
+    for key, most in (("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS), ("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)):
+        now = spark.conf.get(key).removesuffix("b")
+        if not (now.isdigit() and 0 < int(now) <= most):
+            spark.conf.set(key, str(most))
 
 
 def checkpoint_dir(spark: SparkSession) -> str:
-    """The shared folder: Spark's own subfolder of it, once set."""
-    ensure_checkpoint_dir(spark)
-    return spark.sparkContext._jsc.sc().getCheckpointDir().get()
+    """The shared folder that the cluster names in ``spark.checkpoint.dir``: Spark's own subfolder of it, once set.
+
+    Where none is named, a local master, which is one machine, gets a temporary folder; on a cluster that is an error.
+    """
+    context = spark.sparkContext
+    if context._jsc.sc().getCheckpointDir().isEmpty():
+        named = context.getConf().get("spark.checkpoint.dir", None)
+        if named is None and not context.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        context.setCheckpointDir(named or tempfile.mkdtemp(prefix="versicle-checkpoint-"))
+    return context._jsc.sc().getCheckpointDir().get()
 
 
 def cut(df: DataFrame) -> DataFrame:
     """The same rows from shared, replicated storage: lineage ends here and lost executors cost nothing upstream."""
-    ensure_checkpoint_dir(df.sparkSession)
+    checkpoint_dir(df.sparkSession)
     return df.checkpoint(eager=True)
 
 
+def drop_folder(spark: SparkSession, folder: str) -> None:
+    """Delete a folder on whatever file system holds it."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 class PieceCache(dict):
     """A bounded memo of ``encode`` over repeated short strings.
 
@@ -67,6 +79,13 @@ class PieceCache(dict):
             self.clear()
 
 
+def one_row_each(rows: DataFrame, keys: list[str]) -> DataFrame:
+    """One row for each value of ``keys``, the one whose other columns hash least, so that it does not depend on their order."""
+    rest = [c for c in rows.columns if c not in keys]
+    least = rows.groupBy(*keys).agg(F.min_by(F.struct(*rest), F.xxhash64(*rest)).alias("__least"))
+    return least.select(*keys, *[F.col("__least")[c].alias(c) for c in rest])
+
+
 def split_words(texts: pa.StringArray) -> tuple[np.ndarray, np.ndarray, pa.StringArray]:
     """Words between ASCII white space: where each text's begin and end among all, each word's number, and the distinct words.
 
