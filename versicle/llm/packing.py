@@ -2,22 +2,25 @@
 
 Documents are cut into pieces of at most ``capacity`` tokens; a piece of exactly ``capacity``
 is a sequence of its own. The rest are dealt at random into shards of bounded size. In each
-shard, islands evolve populations of packings: crossover injects whole well-filled bins of one
-parent into the other, drops the bins that then hold duplicates, and best-fits the displaced
-pieces; after each epoch an island's elite migrates to its neighbour through a shuffle. A shard
-that meets the lower bound ``ceil(tokens / capacity)`` is optimal and stops. The bins a shard
-could not fill go into the next round with the poorly filled bins of other shards, until one
-shard is left, so nearly all sequences are full at any corpus size.
+shard, islands evolve populations of packings, which begin as best fits of random orders:
+crossover injects whole well-filled bins of one parent into the other, drops the bins that
+would then hold duplicates and the emptiest ones, and best-fits the displaced pieces, longest
+first; after each epoch an island's elite migrates to its neighbour through a shuffle. A shard
+whose elite comes from a crossover and meets the lower bound ``ceil(tokens / capacity)`` is
+optimal and stops. The bins a shard could not fill go into the next round with the poorly
+filled bins of other shards, until one shard is left, so nearly all sequences are full at any
+corpus size.
 
 Defined cases: a null or empty text is a document of its end id alone; repeated rows are
 packed each; no document is dropped or cut except into ``capacity``-token pieces; an empty
-table gives no rows. Other columns are ignored.
+table gives no rows. Other columns stay as they are; of the names that results use, a table's
+own columns give way.
 """
 
 from __future__ import annotations
 
 import os
-from functools import lru_cache
+from functools import lru_cache, reduce
 
 import numpy as np
 import pandas as pd
@@ -31,7 +34,9 @@ from versicle.llm.common import ListTable, bound_batches, cut, split_words
 CAPACITY = 4096
 END_ID = 1
 SHARD_PIECES = 8192
-ISLANDS, EPOCHS, GENERATIONS, POPULATION = 2, 2, 6, 4
+ISLANDS, EPOCHS, GENERATIONS, POPULATION = 2, 2, 10, 4
+#: Shares of a parent's better half that are injected, and of the other's emptiest bins that are dissolved.
+INJECTED, DISSOLVED = 2 / 3, 0.1
 #: Bins emptier than this go into the next round.
 FULL_ENOUGH = 0.995
 
@@ -172,53 +177,58 @@ def cost(lengths: np.ndarray, bins: np.ndarray, capacity: int) -> float:
 
 
 def crossover(lengths: np.ndarray, mother: np.ndarray, father: np.ndarray, capacity: int, rng: np.random.Generator) -> np.ndarray:
-    """Whole well-filled bins of ``father`` injected into ``mother``; displaced pieces go where they fit best."""
-    fill = np.bincount(father, lengths)
-    ranked = np.argsort(-fill, kind="stable")
-    good = ranked[: max(1, len(ranked) // 2)]
-    chosen = rng.choice(good, size=max(1, len(good) // 3), replace=False)
-    injected = np.isin(father, chosen)
-    broken = np.isin(mother, np.unique(mother[injected]))
-    displaced = np.flatnonzero(broken & ~injected)
-    _, kept = np.unique(np.where(injected, -1 - father, mother), return_inverse=True)
-    child = kept.astype(np.int32)
-    settled = ~broken | injected
-    renumber = np.full(child.max() + 1, -1, np.int32)
-    used = np.unique(child[settled])
-    renumber[used] = np.arange(len(used), dtype=np.int32)
-    child = renumber[child]
+    """Whole well-filled bins of ``father`` injected into ``mother``; displaced pieces go where they fit best.
+
+    Bins of the mother that hold an injected piece, and her emptiest others, are dissolved.
+    """
+    fill, own = np.bincount(father, lengths), np.bincount(mother, lengths)
+    good = np.argsort(-fill, kind="stable")[: max(1, len(fill) // 2)]
+    chosen = np.zeros(len(fill), bool)
+    chosen[rng.choice(good, size=max(1, int(INJECTED * len(good))), replace=False)] = True
+    injected = chosen[father]
+    broken = np.zeros(len(own), bool)
+    broken[mother[injected]] = True
+    whole = np.flatnonzero(~broken)
+    broken[whole[np.argsort(own[whole], kind="stable")[: max(1, int(DISSOLVED * len(own)))]]] = True
+    settled = ~broken[mother] | injected
+    used, where = np.unique(np.where(injected, father + len(own), mother)[settled], return_inverse=True)
+    child = np.empty(len(lengths), np.int32)
+    child[settled] = where
     fills = Fills(capacity)
-    for bin_id, full in enumerate(np.bincount(child[settled], lengths[settled], minlength=len(used)).astype(int).tolist()):
+    for bin_id, full in enumerate(np.bincount(where, lengths[settled], minlength=len(used)).astype(int).tolist()):
         fills.add(bin_id, capacity - full)
+    displaced = np.flatnonzero(~settled)
     for item in displaced[np.argsort(-lengths[displaced], kind="stable")].tolist():
         child[item] = fills.place(int(lengths[item]))
     return child
 
 
-def evolve(lengths: np.ndarray, population: list[np.ndarray], capacity: int, seed: int, generations: int = GENERATIONS, size: int = POPULATION) -> list[np.ndarray]:
-    """The population after some generations, best first; at once if its best meets the lower bound."""
+def lower_bound(lengths: np.ndarray, capacity: int) -> int:
+    return -(-int(lengths.sum()) // capacity)
+
+
+def evolve(lengths: np.ndarray, population: list[np.ndarray], capacity: int, seed: int, generations: int = GENERATIONS, size: int = POPULATION) -> tuple[list[np.ndarray], int]:
+    """The population, best first, and how many generations made it: fewer where a child meets the lower bound.
+
+    An empty population begins as best fits of random orders.
+    """
     rng = np.random.default_rng(seed)
-    bound = -(-int(lengths.sum()) // capacity)
+    bound = lower_bound(lengths, capacity)
     best = lambda p: cost(lengths, p, capacity)
-    population = sorted(population, key=best) or [best_fit(lengths, np.argsort(-lengths, kind="stable"), capacity)]
-    if not len(lengths) or population[0].max() + 1 <= bound:
-        return population[:1]
-    while len(population) < size:  # other orders: lengths with noise
-        noisy = lengths * rng.uniform(0.8, 1.2, len(lengths))
-        population.append(best_fit(lengths, np.argsort(-noisy, kind="stable"), capacity))
-    for _ in range(generations):
-        population.sort(key=best)
-        if population[0].max() + 1 <= bound:
-            break
-        a, b = rng.choice(len(population), 2, replace=False)
-        population[-1:] = [*population[-1:], crossover(lengths, population[min(a, b)], population[max(a, b)], capacity, rng)]
-        population = sorted(population, key=best)[:size]
-    return sorted(population, key=best)[:size]
+    population = population or [best_fit(lengths, rng.permutation(len(lengths)), capacity) for _ in range(size)]
+    population = sorted(population, key=best)
+    for made in range(1, generations + 1):
+        a, b = rng.choice(len(population), 2, replace=False) if len(population) > 1 else (0, 0)
+        child = crossover(lengths, population[min(a, b)], population[max(a, b)], capacity, rng)
+        if child.max() + 1 <= bound:
+            return [child, *population][:size], made
+        population = sorted([*population, child], key=best)[:size]
+    return population, generations
 
 
 # ---- distribution ----------------------------------------------------------------------------
 
-_STATE = "shard long, island int, done boolean, n_bins int, cost double, lengths array<int>, population array<array<int>>"
+_STATE = "shard long, island int, done boolean, first_bins int, n_bins int, generations int, cost double, lengths array<int>, population array<array<int>>"
 
 
 def _evolved(capacity: int, epoch: int):
@@ -228,18 +238,30 @@ def _evolved(capacity: int, epoch: int):
             for row in frame.itertuples(index=False):
                 lengths = np.asarray(row.lengths, np.int64)
                 population = [np.asarray(p, np.int32) for p in (row.population if row.population is not None else [])]
+                made, seed = 0, (row.shard * 31 + row.island) * 31 + epoch
+                first = row.first_bins
                 if not row.done:
-                    population = evolve(lengths, population, capacity, seed=(row.shard * 31 + row.island) * 31 + epoch)
+                    if not population:
+                        population, _ = evolve(lengths, [], capacity, seed, generations=0)
+                        first = int(population[0].max()) + 1
+                    population, made = evolve(lengths, population, capacity, seed)
                 bins = int(population[0].max()) + 1
-                done = bins <= -(-int(lengths.sum()) // capacity)
-                rows.append((row.shard, row.island, done, bins, cost(lengths, population[0], capacity), row.lengths, population))
-            yield pd.DataFrame(rows, columns=["shard", "island", "done", "n_bins", "cost", "lengths", "population"])
+                done = bins <= lower_bound(lengths, capacity)
+                rows.append((row.shard, row.island, done, first, bins, row.generations + made, cost(lengths, population[0], capacity), row.lengths, population))
+            yield pd.DataFrame(rows, columns=[f.split()[0] for f in _STATE.split(", ")])
 
     return step
 
 
-def _packed_round(rest: DataFrame, n_shards: int, round_no: int, capacity: int) -> DataFrame:
-    """``id, piece, length, shard, bin, offset, fill`` of the pieces in ``rest``, packed within shards."""
+def migrated(state: DataFrame, islands: int = ISLANDS) -> DataFrame:
+    """Each island's population with its neighbour's elite; a shard that one island has solved is done, by that elite."""
+    guests = state.select("shard", F.pmod(F.col("island") + 1, F.lit(islands)).alias("island"), F.slice("population", 1, 1).alias("guests"), F.col("done").alias("solved"))
+    both = F.when(F.col("solved"), F.concat("guests", "population")).otherwise(F.concat("population", "guests"))
+    return state.join(guests, ["shard", "island"]).select("shard", "island", (F.col("done") | F.col("solved")).alias("done"), "first_bins", "n_bins", "generations", "cost", "lengths", both.alias("population"))
+
+
+def _packed_round(rest: DataFrame, n_shards: int, round_no: int, capacity: int, report: list | None) -> DataFrame:
+    """``shard, items, bins`` of the pieces in ``rest``, packed within shards."""
     salt = F.xxhash64("id", "piece", "row", F.lit(round_no))
     shards = cut(
         rest.withColumn("shard", F.pmod(salt, F.lit(n_shards)).cast("long"))
@@ -247,12 +269,15 @@ def _packed_round(rest: DataFrame, n_shards: int, round_no: int, capacity: int)
         .agg(F.sort_array(F.collect_list(F.struct("length", "row", "id", "piece")), asc=False).alias("items"))
     )
     lengths = F.transform("items", lambda x: x["length"].cast("int"))
-    state = shards.select("shard", F.explode(F.sequence(F.lit(0), F.lit(ISLANDS - 1))).alias("island"), F.lit(False).alias("done"), F.lit(0).alias("n_bins"), F.lit(0.0).alias("cost"), lengths.alias("lengths"), F.lit(None).cast("array<array<int>>").alias("population"))
+    zero = F.lit(0)
+    state = shards.select("shard", F.explode(F.sequence(zero, F.lit(ISLANDS - 1))).alias("island"), F.lit(False).alias("done"), zero.alias("first_bins"), zero.alias("n_bins"), zero.alias("generations"), F.lit(0.0).alias("cost"), lengths.alias("lengths"), F.lit(None).cast("array<array<int>>").alias("population"))
     for epoch in range(EPOCHS):
+        if epoch:
+            state = migrated(state)
         state = cut(state.repartition("shard", "island").mapInPandas(_evolved(capacity, epoch), _STATE))
-        if epoch < EPOCHS - 1:  # the elite of each island joins its neighbour's population
-            guests = state.select("shard", F.pmod(F.col("island") + 1, F.lit(ISLANDS)).alias("island"), F.slice("population", 1, 1).alias("guests"), F.col("done").alias("solved"))
-            state = state.join(guests, ["shard", "island"]).select("shard", "island", (F.col("done") | F.col("solved")).alias("done"), "n_bins", "cost", "lengths", F.when(F.col("solved"), F.concat("guests", "population")).otherwise(F.concat("population", "guests")).alias("population"))
+    if report is not None:
+        best = state.groupBy("shard").agg(F.min("first_bins").alias("f"), F.min("n_bins").alias("n"), F.sum("generations").alias("g"))
+        report.append(best.agg(F.count("*").alias("shards"), F.sum("f").alias("first_bins"), F.sum("n").alias("n_bins"), F.sum("g").alias("generations")).first())
     best = state.groupBy("shard").agg(F.min_by(F.element_at("population", 1), F.struct("cost", "island")).alias("bins"))
     return shards.join(best, "shard").select("shard", "items", "bins")
 
@@ -282,36 +307,38 @@ def _laid_out(frames):
             )
 
 
-def pack(lengths: DataFrame, id_col: str = "doc_id", capacity: int = CAPACITY, shard_pieces: int = SHARD_PIECES) -> DataFrame:
+def pack(lengths: DataFrame, id_col: str = "doc_id", capacity: int = CAPACITY, shard_pieces: int = SHARD_PIECES, report: list | None = None) -> DataFrame:
     """``lengths`` (``id_col, piece, length`` and others) with ``sequence_id long, offset long``.
 
     ``length`` is from 1 to ``capacity``. What ``lengths`` computes runs once; it is then read back.
+    To ``report`` a row is added for each round: its shards, their bins at first and at last, and the generations run.
     """
     bound_batches(lengths.sparkSession)
-    made = cut(lengths.withColumn("__row", F.monotonically_increasing_id()))
-    id_type = made.schema[id_col].dataType.simpleString()
-    whole = made.where(F.col("length") >= capacity).withColumns({"sequence_id": -1 - F.col("__row"), "offset": F.lit(0).cast("long")})
-    rest = made.where(F.col("length") < capacity).select(F.col(id_col).alias("id"), "piece", F.col("__row").alias("row"), "length")
+    lengths = lengths.drop("sequence_id", "offset")
+    names = [f"k{i}" for i in range(len(lengths.columns))]  # no other name of the table can clash
+    of = lambda c: names[lengths.columns.index(c)]
+    made = cut(lengths.toDF(*names).withColumn("row", F.monotonically_increasing_id()))
+    id_type = made.schema[of(id_col)].dataType.simpleString()
+    length = F.col(of("length"))
+    whole = made.where(length >= capacity).select(*names, (-1 - F.col("row")).alias("sequence_id"), F.lit(0).cast("long").alias("offset"))
+    rest = made.where(length < capacity).select(F.col(of(id_col)).alias("id"), F.col(of("piece")).alias("piece"), "row", length.alias("length"))
     n_rest, base, placed = rest.count(), 0, []
     schema = f"id {id_type}, piece int, row long, length long, shard long, bin long, offset long, fill long"
     shards_before, round_no = None, 0
     while n_rest:
         n_shards = max(1, round(n_rest / shard_pieces))
-        packed = _packed_round(rest, n_shards, round_no, capacity).mapInPandas(_laid_out, schema)
+        packed = cut(_packed_round(rest, n_shards, round_no, capacity, report).mapInPandas(_laid_out, schema))
         last = n_shards == 1 or (shards_before is not None and n_shards >= shards_before)
-        packed = cut(packed)
         done = packed if last else packed.where(F.col("fill") >= FULL_ENOUGH * capacity)
         # A shard has at most as many bins as pieces; ids of a round start where those of the one before end.
         width = 4 * shard_pieces
-        placed.append(done.select(F.col("row").alias("__row"), (F.lit(base) + F.col("shard") * width + F.col("bin")).alias("sequence_id"), "offset"))
+        placed.append(done.select("row", (F.lit(base) + F.col("shard") * width + F.col("bin")).alias("sequence_id"), "offset"))
         if last:
             break
         base += n_shards * width
         rest = packed.where(F.col("fill") < FULL_ENOUGH * capacity).select("id", "piece", "row", "length")
         n_rest, shards_before, round_no = rest.count(), n_shards, round_no + 1
-    if not placed:
-        return whole.drop("__row")
-    found = placed[0]
-    for more in placed[1:]:
-        found = found.unionByName(more)
-    return whole.unionByName(made.where(F.col("length") < capacity).join(found, "__row")).drop("__row")
+    if placed:
+        found = reduce(DataFrame.unionByName, placed)
+        whole = whole.unionByName(made.where(length < capacity).join(found, "row").select(*names, "sequence_id", "offset"))
+    return whole.toDF(*lengths.columns, "sequence_id", "offset")
