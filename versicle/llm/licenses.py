@@ -9,18 +9,22 @@ similarity is bounded below; the number of bands is chosen from that bound so th
 template share a band with probability ``COLLISION`` at least. Candidates are verified by exact
 containment of the template's shingles.
 
-Two filters before that lose nothing, as equal minima need a common shingle: a document
-must hold one of the words that cover all template shingles, and a window a shingle of some template.
-
-Templates are a parameter of bounded size; their bands are broadcast. Defined cases: null and
-empty texts and texts shorter than a shingle match nothing; rows with equal ids are one document
-in the result; repeated passages count once, at their first word; other columns are ignored.
+Bands retrieve: what is looked up in a text are the shingles that are a band's minimum in some template, and a
+window is a candidate where such a shingle is the minimum of the window itself under the same band's seed. Windows
+without any of these shingles share no band, so their minima need not be computed; no other shingle is looked up.
+
+Templates are a parameter: pairs of license and text, or a table ``template int, license, text`` of any size,
+which is scanned ``GROUP`` templates at a time, so that the minima in a plan and the bands broadcast are bounded.
+Defined cases: null and empty texts and texts shorter than a shingle match nothing; rows with equal ids are one
+document in the result; repeated passages count once, at their first word; empty tables give no rows; other columns
+are ignored, whatever their names.
 """
 
 from __future__ import annotations
 
 import math
 import re
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -28,6 +32,8 @@ from pyspark.sql import functions as F
 SHINGLE = 5
 CONTAINMENT = 0.8
 COLLISION = 0.9999
+#: Templates scanned in one pass: at most 41 minima of each are in the plan.
+GROUP = 400
 
 # Short public notices and the openings of public licenses.
 TEMPLATES = (
@@ -69,76 +75,82 @@ def bands_for(n: int, containment: float = CONTAINMENT, collision: float = COLLI
     return 1 if least >= 1 else math.ceil(math.log(1 - collision) / math.log(1 - least))
 
 
-#: Words that cover nothing if another of the shingle can: nearly every English text holds them.
-_FREQUENT = frozenset("this that with from was were not and the any for file".split())
-
-
-def covering_words(shingles: list[str]) -> list[str]:
-    """Words that together occur in every shingle, greedily the longest of each one not covered."""
-    chosen: list[str] = []
-    for shingle in shingles:
-        words = shingle.split(" ")
-        if not any(w in chosen for w in words):
-            chosen.append(max(words, key=lambda w: (w not in _FREQUENT, len(w), w)))
-    return chosen
+def _words(text: Column) -> Column:
+    return F.filter(F.split(F.lower(text), "[^a-z0-9]+"), lambda w: w != "")
 
 
-def _strings(values: list[str]) -> Column:
-    return F.array(*map(F.lit, values))
+def _shingles(words: str, k: int) -> Column:
+    # Never below zero: the optimizer may evaluate this before it drops texts shorter than a shingle.
+    places = F.sequence(F.lit(0), F.greatest(F.lit(0), F.size(words) - k))
+    return F.transform(places, lambda i: F.array_join(F.slice(words, i + 1, k), " "))
 
 
-def _minima(shingles: str, bands: int) -> Column:
-    """The least of the shingles' hashes under each of ``bands`` seeds, as one array."""
-    seeds = F.sequence(F.lit(0), F.lit(bands - 1))
-    return F.transform(seeds, lambda seed: F.array_min(F.transform(shingles, lambda s: F.xxhash64(s, seed))))
+def _minima(shingles: str, bands: Column) -> Column:
+    """The least ``hash, shingle`` under each of ``bands`` seeds, as one array."""
+    seeds = F.sequence(F.lit(0), bands - 1)
+    return F.transform(seeds, lambda seed: F.array_min(F.transform(shingles, lambda s: F.struct(F.xxhash64(s, seed).alias("hash"), s.alias("shingle")))))
 
 
-def template_table(spark: SparkSession, templates=TEMPLATES, k: int = SHINGLE) -> DataFrame:
-    """``template, license, step, known array<string>`` for each template of ``k`` words or more."""
-    rows = [(number, name, step_of(len(s)), s) for number, (name, text) in enumerate(templates) if (s := shingles_of(text, k))]
-    return spark.createDataFrame(rows, "template int, license string, step int, known array<string>")
+def template_table(spark: SparkSession, templates=TEMPLATES, k: int = SHINGLE, containment: float = CONTAINMENT, collision: float = COLLISION) -> DataFrame:
+    """``template, license, step, bands, known array<string>`` for each template of ``k`` words or more."""
+    if not isinstance(templates, DataFrame):
+        templates = spark.createDataFrame([(n, name, text) for n, (name, text) in enumerate(templates)], "template int, license string, text string")
+    rows = templates.select("template", "license", _words(F.col("text")).alias("words")).where(F.size("words") >= k)
+    rows = rows.select("template", "license", F.array_distinct(_shingles("words", k)).alias("known")).withColumn("n", F.size("known"))
+    rows = rows.withColumn("step", F.when(F.col("n") <= 1, 1).otherwise(F.pow(F.lit(2), F.length(F.bin(F.col("n") - 1)))).cast("int"))
+    shared = F.ceil(containment * F.col("n") - 1e-9)
+    least = shared / (2 * F.col("step") + F.col("n") - shared)
+    bands = F.when(least >= 1, 1).otherwise(F.ceil(math.log(1 - collision) / F.log(1 - least))).cast("int")
+    return rows.select("template", "license", "step", bands.alias("bands"), "known")
 
 
 def scan(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", templates=TEMPLATES, k: int = SHINGLE, containment: float = CONTAINMENT, collision: float = COLLISION) -> DataFrame:
     """``id_col, license, template int, first_word int (from 0), containment double`` of each template found in each document."""
-    spark = df.sparkSession
-    table = template_table(spark, templates, k)
-    known = {name_text: shingles_of(name_text[1], k) for name_text in templates}
-    every = list(dict.fromkeys(s for shingles in known.values() for s in shingles))
-    by_step: dict[int, int] = {}
-    for shingles in filter(None, known.values()):
-        step = step_of(len(shingles))
-        by_step[step] = max(by_step.get(step, 1), bands_for(len(shingles), containment, collision))
-    if not by_step:
-        none = "CAST(NULL AS string) AS license, CAST(NULL AS int) AS template, CAST(NULL AS int) AS first_word, CAST(NULL AS double) AS containment"
+    table = template_table(df.sparkSession, templates, k, containment, collision)
+    groups = -(-table.count() // GROUP)
+    none = "CAST(NULL AS string) AS license, CAST(NULL AS int) AS template, CAST(NULL AS int) AS first_word, CAST(NULL AS double) AS containment"
+    if not groups:
         return df.limit(0).selectExpr(f"`{id_col}`", *none.split(", "))
-    words = F.filter(F.split(F.lower(F.col(text_col)), "[^a-z0-9]+"), lambda w: w != "")
-    docs = df.select(F.col(id_col).alias("id"), words.alias("words")).where(F.arrays_overlap("words", _strings(covering_words(every))) & (F.size("words") >= k))
-    # Never below zero: the optimizer may evaluate this before it drops texts shorter than a shingle.
-    places = F.sequence(F.lit(0), F.greatest(F.lit(0), F.size("words") - k))
-    docs = docs.select("id", F.transform(places, lambda i: F.array_join(F.slice("words", i + 1, k), " ")).alias("shingles"))
-    hits = F.filter(F.transform("shingles", lambda s, i: F.when(s.isin(every), i)), lambda i: i.isNotNull())
-    docs = docs.select("id", "shingles", hits.alias("hits"))
-    # Each hit's two windows of every class; windows that several hits share are one. Few rows come of many
+    parts = [table.where(F.pmod(F.xxhash64("template"), F.lit(groups)) == n) if groups > 1 else table for n in range(groups)]
+    docs = df.select(F.col(id_col).alias("id"), _words(F.col(text_col)).alias("words")).where(F.size("words") >= k)
+    docs = docs.select("id", _shingles("words", k).alias("shingles"))
+    found = [_scan(docs, part, containment) for part in parts]
+    return reduce(DataFrame.unionByName, found).withColumnRenamed("id", id_col)
+
+
+def _scan(docs: DataFrame, table: DataFrame, containment: float) -> DataFrame:
+    """``docs(id, shingles)`` against about ``GROUP`` templates."""
+    theirs = table.select("step", "template", F.posexplode(_minima("known", F.col("bands"))).alias("band", "least"))
+    theirs = theirs.groupBy("step", "band", F.col("least")["hash"].alias("least"), F.col("least")["shingle"].alias("shingle")).agg(F.collect_set("template").alias("templates"))
+    # At most 41 minima of each of the group's templates.
+    minima: dict[int, set[str]] = {}
+    bands: dict[int, int] = {}
+    for row in theirs.select("step", "band", "shingle").collect():
+        minima.setdefault(row.step, set()).add(row.shingle)
+        bands[row.step] = max(bands.get(row.step, 0), row.band + 1)
+    every = sorted(set().union(*minima.values()))
+    hits = F.filter(F.transform("shingles", lambda s, i: F.when(s.isin(every), F.struct(i.alias("i"), s.alias("s")))), lambda h: h.isNotNull())
+    # Each hit's two windows of its classes; windows that several hits share are one. Few rows come of many
     # shingles: an explode of the shingles themselves would copy the array beside each.
-    both = lambda step: lambda i: F.array(*[F.struct(F.lit(step).alias("step"), (F.floor(i / F.lit(step)) - back).cast("int").alias("window")) for back in (0, 1)])
-    near = F.array_distinct(F.concat(*[F.flatten(F.transform("hits", both(step))) for step in sorted(by_step)]))
-    windows = docs.select("id", "shingles", F.explode(near).alias("w")).select("id", "shingles", "w.step", "w.window").where("window >= 0")
-    windows = windows.select("id", "step", "window", F.slice("shingles", F.greatest(F.lit(1), F.col("window") * F.col("step") + 1), 2 * F.col("step")).alias("shingles"))
+    both = lambda step: lambda h: F.array(*[F.struct(F.lit(step).alias("step"), (F.floor(h["i"] / F.lit(step)) - back).cast("int").alias("window")) for back in (0, 1)])
+    of = lambda step: F.filter("hits", lambda h: h["s"].isin(sorted(minima[step])))
+    near = F.array_distinct(F.concat(*[F.flatten(F.transform(of(step), both(step))) for step in sorted(minima)]))
+    # No filter on the hits: it would be pushed below the shingles and make them anew for each place.
+    windows = docs.select("id", "shingles", hits.alias("hits")).select("id", "shingles", F.explode(near).alias("w"))
+    windows = windows.select("id", "shingles", "w.step", "w.window").where("window >= 0")
+    windows = windows.select("id", "step", "window", F.slice("shingles", F.col("window") * F.col("step") + 1, 2 * F.col("step")).alias("shingles"))
     windows = windows.groupBy("id", "step", "window").agg(F.first("shingles").alias("shingles"))
-    bands = max(by_step.values())
-    theirs = table.select("step", "template", F.posexplode(_minima("known", bands)).alias("band", "least"))
-    theirs = theirs.groupBy("step", "band", "least").agg(F.collect_set("template").alias("templates"))
-    met = windows.select("id", "step", "window", "shingles", F.posexplode(_minima("shingles", bands)).alias("band", "least"))
-    # Both sides of this join and of the next are broadcast from a bounded list of templates.
-    met = met.join(F.broadcast(theirs), ["step", "band", "least"]).select("id", "step", "window", "shingles", F.explode("templates").alias("template"))
-    met = met.groupBy("id", "step", "window", "template").agg(F.first("shingles").alias("shingles")).join(F.broadcast(table.drop("step")), "template")
+    n_bands = F.element_at(F.create_map(*[F.lit(x) for pair in sorted(bands.items()) for x in pair]), F.col("step"))
+    met = windows.select("id", "step", "window", "shingles", F.posexplode(_minima("shingles", n_bands)).alias("band", "m"))
+    met = met.select("id", "step", "window", "shingles", "band", F.col("m")["hash"].alias("least"))
+    # Both sides of this join and of the next are broadcast from a bounded group of templates.
+    met = met.join(F.broadcast(theirs.drop("shingle")), ["step", "band", "least"]).select("id", "step", "window", "shingles", F.explode("templates").alias("template"))
+    met = met.groupBy("id", "step", "window", "template").agg(F.first("shingles").alias("shingles")).join(F.broadcast(table.drop("step", "bands")), "template")
     shared = F.size(F.array_intersect("shingles", "known"))
     places = F.transform("shingles", lambda s, i: F.when(F.array_contains("known", s), i))
     first = F.col("window") * F.col("step") + F.array_min(places)
     found = met.select("id", "license", "template", first.alias("first_word"), (shared / F.size("known")).alias("containment")).where(F.col("containment") >= containment)
-    best = found.groupBy("id", "license", "template").agg(F.min("first_word").alias("first_word"), F.max("containment").alias("containment"))
-    return best.withColumnRenamed("id", id_col)
+    return found.groupBy("id", "license", "template").agg(F.min("first_word").alias("first_word"), F.max("containment").alias("containment"))
 
 
 def sql(templates=TEMPLATES, k: int = SHINGLE, containment: float = CONTAINMENT) -> str:
