@@ -4,11 +4,12 @@ A text of up to ``chunk_chars`` is encoded where it is read. A longer one is cut
 that overlap; tasks anywhere in the cluster pre-tokenise and encode the chunks, and one task
 per text stitches them: from a position that is a pre-token boundary in both neighbours on,
 both would split the text alike, because the pattern never looks back. Where an overlap holds
-no common boundary (a run of letters longer than the overlap), the two chunks are joined and
-encoded again, so results never depend on the chunking.
+no common boundary (a run of letters longer than the overlap), the chunks of the stretch are
+gathered and encoded again as one, so results never depend on the chunking.
 
 Defined cases: a null or empty text has no ids; decoding null gives empty bytes; a repeated
-row or id gives a result for each row; all other columns are ignored, whatever their names.
+row or id gives a result for each row; an empty table gives no rows; all other columns are
+ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -88,18 +89,27 @@ def stitch(chunks: list[tuple[int, str, np.ndarray, np.ndarray, bytes]], encoder
         hi = len(starts) if upto is None else np.searchsorted(starts, upto - offset)
         out.append(ids[4 * int(counts[:lo].sum()) : 4 * int(counts[:hi].sum())])
 
-    for right in chunks[1:]:
+    at = 1
+    while at < len(chunks):
+        right = chunks[at]
         last = offset + len(text) - EDGE
         common = np.intersect1d(starts + offset, right[2] + right[0], assume_unique=True)
         common = common[(common >= begin) & (common <= last)]
         if len(common):
-            at = int(common[len(common) // 2])
-            emit(at)
-            begin, (offset, text, starts, counts, ids) = at, right
-        else:
-            joined = text[begin - offset :] + right[1][offset + len(text) - right[0] :]
-            offset, text = begin, joined
-            starts, counts, ids = encoder.spans(joined)
+            cut = int(common[len(common) // 2])
+            emit(cut)
+            begin, (offset, text, starts, counts, ids) = cut, right
+            at += 1
+            continue
+        # The stretch is at least doubled before it is encoded again, so a run of any length costs its length.
+        parts, end = [text[begin - offset :]], offset + len(text)
+        goal = 2 * len(parts[0])
+        while at < len(chunks) and sum(map(len, parts)) <= goal:
+            parts.append(chunks[at][1][end - chunks[at][0] :])
+            end = chunks[at][0] + len(chunks[at][1])
+            at += 1
+        offset, text = begin, "".join(parts)
+        starts, counts, ids = encoder.spans(text)
     emit(None)
     return b"".join(out)
 
