@@ -9,7 +9,8 @@ say nothing, so texts below the minimum lengths are not judged by them.
 
 Defined cases: a null or empty text has no words and fails the base rules; a language without
 a word list, or null, is judged by character classes alone, against all such documents; where
-no document can serve as a reference, nothing is judged; every row gets a row, equal ids too.
+no document can serve as a reference, nothing is judged; every row gets a row, equal ids too;
+an empty table gives no rows; other columns are ignored, whatever their names.
 """
 
 from __future__ import annotations

@@ -3,13 +3,15 @@
 Every document is scored on its whole text. Features are the presence of words, neighbouring
 word pairs, and pairs that skip one word, hashed into ``2 ** BITS`` coordinates. The model
 learns from at most ``TRAIN_ROWS`` labelled documents outside the held-out fold, the ones
-with the smallest hash of their id: a bounded sample, which one task reads ``EPOCHS`` times in hash order. Weights have
-at most ``2 ** BITS`` coordinates, and L1 leaves few of them, so what reaches the driver and is
-broadcast is bounded at any corpus size.
+with the smallest hash of their id, up to ``TRAIN_BYTES`` of features: a bounded sample, which one
+task reads ``EPOCHS`` times in hash order. Weights have at most ``2 ** BITS`` coordinates, and L1
+leaves few of them, so what reaches the driver and is broadcast is bounded at any corpus size.
 
 Defined cases: null and empty texts have no features and score the bias; where no labelled
 row may be learnt from, all score 0.5 less the least step (not toxic); conflicting labels of
-an id count as toxic; null labels don't count; rows with equal ids each get a row.
+an id count as toxic; null labels don't count; of rows with one id, the one whose text hashes
+least is learnt from and each gets a score; an empty table gives no rows; other columns are
+ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -23,11 +25,12 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from versicle.llm.common import PieceCache, bound_batches, held_out
+from versicle.llm.common import PieceCache, bound_batches, held_out, one_row_each
 from versicle.llm.ftrl import Ftrl, sigmoid, sparse
 
 BITS = 20
 TRAIN_ROWS = 20_000
+TRAIN_BYTES = 256 << 20
 EPOCHS = 4
 #: The rate and L1 did best in three-fold cross-validation at sf0.1 within the rows that may be learnt from.
 ALPHA, BETA, L1, L2 = 4.0, 1.0, 5.0, 0.05
@@ -75,14 +78,17 @@ def _packed(bits: int):
     return made
 
 
-def _fitted(bits: int, epochs: int):
+def _fitted(bits: int, epochs: int, most_bytes: int):
     """All epochs of learning in the one task that holds the bounded sample; only weights that are not zero leave it."""
 
     def made(batches):
-        labels, rows = [], []
+        labels, rows, held = [], [], 0
         for batch in batches:
-            labels += batch["label"].to_pylist()
-            rows += [np.frombuffer(at, "<u4") for at in batch["at"].to_pylist()]
+            for label, at in zip(batch["label"].to_pylist(), batch["at"].to_pylist(), strict=True):
+                held += len(at)
+                if held <= most_bytes or not rows:
+                    labels.append(label)
+                    rows.append(np.frombuffer(at, "<u4"))
         if not rows:
             return
         model = Ftrl(1 << bits, ALPHA, BETA, L1, L2)
@@ -95,7 +101,7 @@ def _fitted(bits: int, epochs: int):
     return made
 
 
-def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", train_rows: int = TRAIN_ROWS, epochs: int = EPOCHS, bits: int = BITS) -> tuple[np.ndarray, np.ndarray, float]:
+def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", train_rows: int = TRAIN_ROWS, train_bytes: int = TRAIN_BYTES, epochs: int = EPOCHS, bits: int = BITS) -> tuple[np.ndarray, np.ndarray, float]:
     """Coordinates, weights and bias learnt from labelled rows that are not held out."""
     bound_batches(docs.sparkSession)
     usable = labels.where(F.col(label_col).isNotNull() & F.col(id_col).isNotNull() & ~held_out(id_col))
@@ -103,9 +109,9 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     usable = usable.withColumn("rank", F.xxhash64("id")).orderBy("rank", "id").limit(train_rows)
     # At most train_rows rows of three numbers: bounded, whatever the corpus.
     texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-    rows = texts.join(F.broadcast(usable), "id").select("rank", "label", "text")
+    rows = one_row_each(texts.join(F.broadcast(usable), "id"), ["id", "rank", "label"]).select("rank", "label", "text")
     rows = rows.mapInArrow(_packed(bits), "rank long, label int, at binary").repartition(1).sortWithinPartitions("rank")
-    found = rows.mapInArrow(_fitted(bits, epochs), "bias double, at binary, weights binary").collect()
+    found = rows.mapInArrow(_fitted(bits, epochs, train_bytes), "bias double, at binary, weights binary").collect()
     if not found:
         return np.empty(0, np.int32), np.empty(0, np.float32), -1e-6
     return np.frombuffer(found[0].at, "<i4"), np.frombuffer(found[0].weights, "<f4"), found[0].bias
