@@ -8,10 +8,7 @@ from pyspark.sql import functions as F
 
 from versicle.llm import bpe, licenses, packing, quality, rules, simhash, toxicity, urls, vectors, wordpiece
 from versicle.llm.common import held_out
-
-
-def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+from versicle.sources.tables import read_table as _table
 
 
 def op1_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
