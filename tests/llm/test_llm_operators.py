@@ -11,10 +11,11 @@ import public_tokenizers as P
 import pytest
 import tiktoken
 import xxhash
+from pyspark.sql import Row
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from versicle.llm import bpe, components, ftrl, licenses, packing, quality, queries, rules, simhash, toxicity, urls, vectors, wordpiece
+from versicle.llm import bpe, common, components, ftrl, licenses, packing, quality, queries, rules, shingles, simhash, toxicity, urls, vectors, wordpiece
 from versicle.llm.common import held_out
 
 RANKS, WORDS = P.path("byte_bpe_50k.tiktoken"), P.path("word_bpe_49k.json")
@@ -75,6 +76,15 @@ def test_stitching_without_common_boundaries():
         assert np.frombuffer(bpe.stitch(chunks, encoder), "<i4").tolist() == enc.encode_ordinary(text)
 
 
+def test_stitching_a_long_run_takes_time_in_proportion():
+    encoder, spans = bpe.Encoder(RANKS, P.PATTERN), []
+    text = "x" + "ab" * 300_000 + " end"
+    chunks = [(o, t, *encoder.spans(t)) for o, t in bpe.cut_text(text, 32_768, 256)]
+    counted = type("Counted", (), {"spans": lambda _, t: spans.append(len(t)) or encoder.spans(t)})()
+    assert bpe.stitch(chunks, counted) == encoder.ids(text)
+    assert sum(spans) <= 4 * len(text)
+
+
 def _greedy(word, first, rest, longest=130):
     at = n = 0
     while at < len(word):
@@ -143,6 +153,14 @@ def test_packing_in_rounds_stays_near_the_bound(spark):
     assert used <= 1.03 * sum(lengths) / 100 + 1
 
 
+def _triplets(seed, n=40, capacity=1000):
+    """Lengths that fill ``n`` bins exactly, three in each."""
+    rng = np.random.default_rng(seed)
+    a = rng.integers(capacity // 4, capacity // 2, n)
+    b = np.array([rng.integers(capacity // 5, capacity - x - capacity // 7) for x in a])
+    return np.concatenate([a, b, capacity - a - b])
+
+
 def test_crossover_keeps_every_piece():
     rng = np.random.default_rng(0)
     for _ in range(40):
@@ -151,8 +169,41 @@ def test_crossover_keeps_every_piece():
         child = packing.crossover(lengths, a, b, 100, rng)
         fill = np.bincount(child, lengths)
         assert len(child) == len(lengths) and fill.max() <= 100 and (fill > 0).all()
-    population = packing.evolve(lengths, [], 100, seed=1)
-    assert packing.cost(lengths, population[0], 100) <= packing.cost(lengths, packing.best_fit(lengths, np.argsort(-lengths), 100), 100)
+
+
+def test_crossover_makes_the_packing(monkeypatch):
+    """From random orders the islands reach the bound, and beat best-fit decreasing where that is not optimal; without crossover they don't."""
+    rng = np.random.default_rng(1)
+    lengths = np.minimum(4095, rng.lognormal(6.5, 0.8, 3000).astype(int) + 1)
+    bound = packing.lower_bound(lengths, 4096)
+    bins = lambda population: int(population[0].max()) + 1
+    first, none = packing.evolve(lengths, [], 4096, seed=1, generations=0)
+    last, made = packing.evolve(lengths, first, 4096, seed=1)
+    assert none == 0 and made >= 1 and bins(first) > bound and bins(last) == bound
+    hard = [_triplets(k) for k in range(4)]
+    decreasing = [int(packing.best_fit(x, np.argsort(-x, kind="stable"), 1000).max()) + 1 for x in hard]
+    evolved = [bins(packing.evolve(x, [], 1000, seed=k, generations=60, size=8)[0]) for k, x in enumerate(hard)]
+    assert all(e <= d for e, d in zip(evolved, decreasing, strict=True)) and sum(evolved) < sum(decreasing)
+    monkeypatch.setattr(packing, "crossover", lambda lengths, mother, father, capacity, rng: mother)
+    assert bins(packing.evolve(lengths, first, 4096, seed=1)[0]) == bins(first) > bound
+
+
+def test_elites_migrate(spark):
+    """The neighbour's elite joins a population; one that solves the shard leads it."""
+    row = lambda shard, island, done, elite: (shard, island, done, 9, 8, 1, 1.0, [1], [[elite], [0]])
+    state = spark.createDataFrame([row(0, 0, False, 5), row(0, 1, False, 6), row(1, 0, True, 7), row(1, 1, False, 8)], packing._STATE)
+    found = {(r.shard, r.island): (r.done, r.population) for r in packing.migrated(state, 2).collect()}
+    assert found[0, 0] == (False, [[5], [0], [6]]) and found[0, 1] == (False, [[6], [0], [5]])
+    assert found[1, 1] == (True, [[7], [8], [0]]) and found[1, 0][1][0] == [7]
+
+
+def test_packing_reports_its_rounds_and_allows_clashing_names(spark):
+    lengths = _triplets(3, 60, 4000).tolist()
+    df = spark.createDataFrame([(n, x, "s", "o", "r", "k") for n, x in enumerate(lengths)], "doc_id long, length long, sequence_id string, offset string, row string, k0 string").withColumn("piece", F.lit(0))
+    report = []
+    rows = packing.pack(df, capacity=4000, report=report).collect()
+    assert _check_sequences(rows, 4000) == report[0].n_bins <= report[0].first_bins and report[0].generations >= 1
+    assert [r["row"] for r in rows] == ["r"] * len(lengths) and rows[0].__fields__ == ["doc_id", "length", "row", "k0", "piece", "sequence_id", "offset"]
 
 
 # ---- 3 and 4 -------------------------------------------------------------------------------------
@@ -196,21 +247,174 @@ def test_held_out_accuracy(spark, query, label, least):
     assert (clean.predicted == clean[label]).mean() >= 0.99
 
 
-def test_co_training_uses_unlabelled_rows():
-    rng = np.random.default_rng(0)
-    n = 400
-    truth = rng.random(n) < 0.5
-    row = lambda k, base: (np.array([base + int(truth[k]), base + 10 + rng.integers(5)], np.uint32), np.ones(2))
-    content, meta = [row(k, 0) for k in range(n)], [row(k, 40) for k in range(n)]
-    labels = np.where(np.arange(n) < 60, truth, -1).astype(np.int64)
-    model = quality.co_train(content, meta, labels, np.arange(n) % 5 == 1, bits=8)
-    for name, rows in (("content", content), ("meta", meta)):
-        at, weights, bias, slope, shift = model[name]
-        dense = np.zeros(256)
-        dense[at] = weights
-        said = np.array([slope * ((dense[a] * v).sum() + bias) + shift > 0 for a, v in rows])
-        assert (said == truth).mean() > 0.95
-    assert quality.co_train(content[:3], meta[:3], np.array([1, 1, -1]), np.zeros(3, bool), bits=8) is None
+def _plain_ftrl(rows, alpha, beta, l1, l2):
+    """The published update, a coordinate at a time; ``rows`` of ``{coordinate: value}, label, weight``; the bias has no penalty."""
+    z, n = {}, {}
+
+    def weight(i):
+        if i == "bias":
+            return -z.get(i, 0.0) * alpha / (beta + n.get(i, 0.0) ** 0.5)
+        return 0.0 if abs(z.get(i, 0.0)) <= l1 else -(z[i] - (l1 if z[i] > 0 else -l1)) / ((beta + n[i] ** 0.5) / alpha + l2)
+
+    for features, label, times in rows:
+        x = {**features, "bias": 1.0}
+        w = {i: weight(i) for i in x}
+        p = 1 / (1 + np.exp(-max(-35.0, min(35.0, sum(w[i] * v for i, v in x.items())))))
+        for i, v in x.items():
+            g = times * (p - label) * v
+            sigma = ((n.get(i, 0.0) + g * g) ** 0.5 - n.get(i, 0.0) ** 0.5) / alpha
+            z[i], n[i] = z.get(i, 0.0) + g - sigma * w[i], n.get(i, 0.0) + g * g
+    return {i: weight(i) for i in z}
+
+
+def _xx(value):
+    """Spark's hash of a long, for the order of rows."""
+    return xxhash.xxh64_intdigest(int(value).to_bytes(8, "little", signed=True), 42) - (2**64 if xxhash.xxh64_intdigest(int(value).to_bytes(8, "little", signed=True), 42) >> 63 else 0)
+
+
+def _small_corpus(spark):
+    rng = random.Random(8)
+    words = [f"w{n}" for n in range(60)]
+    rows, labels = [], []
+    for n in range(240):
+        bad, poor = rng.random() < 0.3, rng.random() < 0.4
+        text = rng.choices(words, k=rng.randint(3, 40)) + ["vile", "foul"] * bad + ["$$", "BUY"] * 3 * poor
+        rng.shuffle(text)
+        rows.append((n, " ".join(text), "en" if rng.random() < 0.6 else "de", "shop" if poor else "press", len(text)))
+        if n % 3:
+            labels.append((n, int(not poor), int(bad)))
+    return spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").repartition(5), spark.createDataFrame(labels, "doc_id long, quality int, toxic int")
+
+
+def test_toxicity_equals_brute_force(spark):
+    docs, labels = _small_corpus(spark)
+    bits = toxicity.BITS
+
+    def features(text):
+        words = [zlib.crc32(w.encode()) for w in re.findall(r"\w+", text.lower())]
+        m = 2**32 - 1
+        pair, skip, after = 0x9E3779B1, 0x85EBCA77, 0xC2B2AE3D
+        raw = [w * pair & m for w in words]
+        for gap, first in ((1, skip), (2, after)):
+            raw += [((a * first + b * pair) & m) * pair & m for a, b in zip(words, words[gap:], strict=False)]
+        return {((h ^ (h >> 15)) * skip & m) >> (32 - bits): 1.0 for h in raw}
+
+    texts = dict(docs.select("doc_id", "text").collect())
+    known = [(r.doc_id, r.toxic) for r in labels.collect() if zlib.crc32(str(r.doc_id).encode()) % 5]
+    order = sorted(known, key=lambda x: _xx(x[0]))
+    weights = _plain_ftrl([(features(texts[i]), float(t), 1.0) for i, t in order * toxicity.EPOCHS], toxicity.ALPHA, toxicity.BETA, toxicity.L1, toxicity.L2)
+    for r in toxicity.score(docs, toxicity.fit(docs, labels)).collect():
+        logit = sum(weights.get(i, 0.0) for i in features(texts[r.doc_id])) + weights["bias"]
+        assert r.score == pytest.approx(1 / (1 + np.exp(-logit)), abs=1e-5)
+
+
+def _plain_platt(logits, labels):
+    """Slope and shift of least smoothed loss, by a general minimiser: coordinate steps of falling size."""
+    good, bad = labels.sum(), (1 - labels).sum()
+    target = np.where(labels > 0, (good + 1) / (good + 2), 1 / (bad + 2))
+
+    def loss(a, b):
+        m = a * logits + b
+        return np.sum(np.logaddexp(0, m) - target * m) + 0.5e-3 * ((a - 1) ** 2 + b * b)
+
+    at, step = np.array([1.0, 0.0]), 1.0
+    while step > 1e-7:
+        moves = [at + step * np.array(d) for d in ((1, 0), (-1, 0), (0, 1), (0, -1), (1, 1), (-1, -1), (1, -1), (-1, 1))]
+        best = min(moves, key=lambda x: loss(*x))
+        if loss(*best) < loss(*at):
+            at = best
+        else:
+            step /= 2
+    return max(0.0, at[0]), at[1]
+
+
+def test_co_training_equals_brute_force(spark):
+    """Every round's fits, calibrations, confident rows, and the final scores, computed plainly."""
+    docs, labels = _small_corpus(spark)
+    bits, handed, rounds, mask = quality.BITS, 5, 2, (1 << quality.BITS) - 1
+    rows = {r.doc_id: r for r in docs.collect()}
+
+    def content(text):
+        pieces = text.split()
+        words, shapes = ([zlib.crc32(b) & mask for b in part] for part in ([p.lower().encode() for p in pieces], [b"shape " + quality.shape_of(p).encode() for p in pieces]))
+        found = {}
+        for hashes, scale in ((shapes, 2.0), (words, 1.0)):
+            for h in set(hashes):
+                found[h] = found.get(h, 0.0) + scale * (hashes.count(h) / len(pieces)) ** 0.5
+        raw = [zlib.crc32(p.lower().encode()) for p in pieces]
+        repeats = sum(a == b for a, b in zip(raw, raw[1:], strict=False)) / max(1, len(raw) - 1)
+        for tell in (f"repeats {int(np.ceil(10 * repeats))}", f"distinct {int(10 * len(set(words)) / len(pieces)) if len(pieces) > 20 else -1}", "empty False"):
+            found[zlib.crc32(tell.encode()) & mask] = found.get(zlib.crc32(tell.encode()) & mask, 0.0) + 1.0
+        return {k: float(np.float32(v)) for k, v in found.items()}
+
+    def meta(row):
+        told = [f"m_lang={row.lang}", f"m_source={row.source}", f"m_n_chars={int(np.log2(max(1, row.n_chars)))}"]
+        return {zlib.crc32(t.encode()) & mask: 1.0 for t in told + [f"{told[0]} {x}" for x in told[1:]]}
+
+    features = {"content": {i: content(r.text) for i, r in rows.items()}, "meta": {i: meta(r) for i, r in rows.items()}}
+    crc = lambda i: zlib.crc32(str(i).encode()) % 5
+    truth = {r.doc_id: r.quality for r in labels.collect()}
+    known = [i for i in truth if crc(i) not in (0, 1)]
+    held = [i for i in truth if crc(i) == 1]
+    given = {"content": [], "meta": []}  # rows handed to each view
+    offered = {r.doc_id: r.turn for r in docs.select("doc_id", F.pmod(F.xxhash64("doc_id", F.lit(2)), F.lit(rounds)).alias("turn")).collect()}
+
+    def learn():
+        # Rows stand in the order of their hashes, which the shuffles of the fit refer to.
+        table = sorted([(_xx(i), "", truth[i], i) for i in known + held] + [(_xx(i), "meta", y, i) for i, y in given["content"]] + [(_xx(i), "content", y, i) for i, y in given["meta"]])
+        model = {}
+        for name, other in (("content", "meta"), ("meta", "content")):
+            which = np.array([k for k, (_, giver, _, i) in enumerate(table) if giver == other or (giver == "" and i in known)])
+            label = np.array([t[2] for t in table], float)
+            share = label[which].mean()
+            rng, steps = np.random.default_rng(7), []
+            for _ in range(quality.EPOCHS):
+                steps += [(features[name][table[k][3]], label[k], 0.5 / (share if label[k] else 1 - share)) for k in rng.permutation(which).tolist()]
+            weights = _plain_ftrl(steps, quality.ALPHA, 1.0, quality.L1, quality.L2)
+            logit = lambda i, name=name, weights=weights: sum(weights.get(c, 0.0) * v for c, v in features[name][i].items()) + weights["bias"]
+            slope, shift = _plain_platt(np.array([logit(i) for i in held]), np.array([truth[i] for i in held], float))
+            model[name] = lambda i, logit=logit, slope=slope, shift=shift: slope * logit(i) + shift
+        return model
+
+    sigmoid = lambda x: 1 / (1 + np.exp(-x))
+    model = learn()
+    for turn in range(rounds):
+        for name, other in (("content", "meta"), ("meta", "content")):
+            pool = [(i, sigmoid(model[name](i))) for i in rows if i not in truth and offered[i] == turn]
+            for label in (0, 1):
+                sure = sorted(((-max(p, 1 - p), _xx(i), i) for i, p in pool if (p >= 0.5) == bool(label) and max(p, 1 - p) >= quality.CONFIDENT))
+                given[other] += [(i, label) for _, _, i in sure[:handed]]
+        model = learn()
+    assert given["content"] and given["meta"]
+    prior = (sum(truth[i] for i in known) + 1) / (len(known) + 2)
+    fitted = quality.fit(docs, labels, handed=handed, rounds=rounds)
+    for r in quality.score(docs, fitted).collect():
+        a, b = model["content"](r.doc_id), model["meta"](r.doc_id)
+        assert (r.content_score, r.meta_score) == (pytest.approx(sigmoid(a), abs=2e-4), pytest.approx(sigmoid(b), abs=2e-4))
+        assert r.score == pytest.approx(sigmoid(a + b - np.log(prior / (1 - prior))), abs=5e-4)
+
+
+def test_surest_rows_are_exact_and_bounded(spark):
+    rng = random.Random(2)
+    rows = [(n, n, rng.choice([0.99, 0.95, rng.random()]), rng.random()) for n in range(3000)]
+    found = quality.surest(spark.createDataFrame(rows, "__id long, __hash long, content_score double, meta_score double").repartition(7), handed=20, confident=0.9).collect()
+    for view, at in (("content", 2), ("meta", 3)):
+        for label in (0, 1):
+            pool = sorted((-max(r[at], 1 - r[at]), _xx(r[0]), r[0]) for r in rows if (r[at] >= 0.5) == bool(label) and max(r[at], 1 - r[at]) >= 0.9)
+            assert sorted(r["__id"] for r in found if r["__giver"] == view and r["__label"] == label) == sorted(x[2] for x in pool[:20])
+
+
+def test_training_on_odd_rows(spark):
+    """Infinite and odd metadata, repeated ids, and a bound on bytes."""
+    inf = float("inf")
+    rows = [(n % 40, f"word{n % 7} text {n}", [inf, -inf, float("nan"), None, 3.0][n % 5], ["a", None][n % 2], [n]) for n in range(400)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, n_chars double, lang string, source array<int>")
+    labels = spark.createDataFrame([(n, n % 2, n % 2) for n in range(30)], "doc_id long, quality int, toxic int")
+    for most in (1, 1 << 20):
+        assert quality.score(docs, quality.fit(docs, labels, train_bytes=most)).count() == 400
+        assert toxicity.score(docs, toxicity.fit(docs, labels, train_bytes=most)).count() == 400
+    each = common.one_row_each(docs.select("doc_id", "text"), ["doc_id"]).collect()
+    assert len(each) == 40 and each == sorted(common.one_row_each(docs.select("doc_id", "text").repartition(3), ["doc_id"]).collect(), key=lambda r: [x.doc_id for x in each].index(r.doc_id))
 
 
 # ---- 5 and 6 -------------------------------------------------------------------------------------
@@ -238,6 +442,26 @@ def test_licenses_equal_brute_force(spark, docs, empty):
     assert licenses.scan(empty).collect() == [] and licenses.scan(df, templates=()).collect() == []
 
 
+def test_bands_retrieve_and_templates_may_be_a_table(spark, monkeypatch):
+    """With one band fewer matches are found than with all; a table of templates, in several groups, gives the same as pairs."""
+    rng = random.Random(7)
+    words = [f"t{n}" for n in range(400)]
+    templates = [(f"L{n}", " ".join(rng.choices(words, k=rng.randint(9, 90)))) for n in range(40)]
+    texts = []
+    for _, text in templates:
+        some = text.split()
+        some[len(some) // 2] = "edited"
+        texts += [" ".join(rng.choices(words, k=30) + some + rng.choices(words, k=30)), " ".join(rng.choices(words, k=7) + text.split())]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    wanted = sorted((i, *hit) for i, t in enumerate(texts) for hit in _contained(t, templates))
+    rows = lambda found: sorted((r.doc_id, r.license, r.template, round(r.containment, 9)) for r in found.collect())
+    assert rows(licenses.scan(df, templates=templates)) == wanted and len(wanted) > 50
+    assert len(rows(licenses.scan(df, templates=templates, collision=0.01))) < len(wanted)
+    table = spark.createDataFrame([(n, name, text) for n, (name, text) in enumerate(templates)], "template int, license string, text string")
+    monkeypatch.setattr(licenses, "GROUP", 15)
+    assert rows(licenses.scan(df, templates=table)) == wanted
+
+
 def test_bands_guarantee_their_probability():
     for n in range(1, 70):
         shared = -(-4 * n // 5)
@@ -258,11 +482,36 @@ def test_urls(spark, empty):
     assert (rows[10].host, rows[10].path) == ("b:", "//c.com/de/") and {r.verdict for r in rows.values()} == {"allow", "block"}
 
 
+def _tree(spark, paths):
+    pages = urls.templates(spark.createDataFrame(paths, "host string, path string, verdict string"))
+    return {(r.host, r.template): r.learnt for r in urls.template_verdicts(pages).collect()}
+
+
 def test_url_branches_learn_from_labels(spark):
     paths = [("h.com", f"/shop/{n}.html", "block") for n in range(40)] + [("h.com", f"/news/{n}", "allow") for n in range(40)] + [("h.com", "/shop/new.html", None), ("h.com", "/news/new", None), ("o.net", "/a", None)]
-    pages = urls.templates(spark.createDataFrame(paths, "host string, path string, verdict string"))
-    verdicts = {(r.host, r.template): r.learnt for r in urls.template_verdicts(pages).collect()}
-    assert verdicts == {("h.com", "shop/*.html"): "block", ("h.com", "news/*"): "allow", ("o.net", "*"): "allow"}
+    assert _tree(spark, paths) == {("h.com", "shop/*.html"): "block", ("h.com", "news/*"): "allow", ("o.net", "*"): "allow"}
+
+
+def test_url_siblings_are_compared_with_each_other(spark):
+    """A half blocked branch isn't merged with an all blocked one, though both are over their host's share."""
+    says = lambda n, blocked: ["block"] * blocked + ["allow"] * (n - blocked)
+    paths = [("h.com", f"/{seg}/{k}", v) for seg, n, blocked in (("x", 100, 50), ("y", 100, 100), ("z", 400, 0)) for k, v in enumerate(says(n, blocked))]
+    assert _tree(spark, paths) == {("h.com", "x/*"): "allow", ("h.com", "y/*"): "block", ("h.com", "z/*"): "allow"}
+
+
+def test_merged_url_branches_join_their_subtrees(spark):
+    """Two alike branches have too few blocked pages of one kind each; joined, they have enough."""
+    paths = [("h.com", f"/{seg}/{kind}/{k}", v) for seg in ("a", "b") for kind, v, n in (("ads", "block", 10), ("text", "allow", 30)) for k in range(n)]
+    paths += [("h.com", f"/{seg}/ads/new", None) for seg in ("a", "b")]
+    state = _tree(spark, paths)
+    assert state["h.com", "a/ads/*"] == state["h.com", "b/ads/*"] == "block" and state["h.com", "a/text/*"] == "allow"
+    merged = urls.merged_siblings(
+        spark.createDataFrame([("h", [s, "k"], 2, b, 0.5, "", True) for s, b in (("a", 1), ("b", 1), ("c", 2))], "host string, parts array<string>, n long, b long, share double, branch string, open boolean"), 1
+    )
+    assert merged.count() == 0  # two labelled pages are too few
+    odd = [("h.com", f"/p{n}/x", "block") for n in range(60)] * 5 + [("h.com", f"/q/{n}", "allow") for n in range(31)]
+    # Sixty even segments have neither a share of the pages nor labelled pages enough: one wildcard. /q has both.
+    assert _tree(spark, odd) == {("h.com", "*/x"): "block", ("h.com", "q/*"): "allow"}
 
 
 # ---- 7 --------------------------------------------------------------------------------------------
@@ -301,6 +550,55 @@ def test_rules_reject_divergent_texts_only(spark):
     assert rules.distance(np.array([[2.0, 2, 0], [0, 0, 3]]), np.array([[0.5, 0.5, 0], [0.5, 0.5, 0]])).round(6).tolist() == [0, 1]
 
 
+def test_rules_verdicts_equal_brute_force(spark):
+    """References, both distances, the guards and the verdict, computed plainly."""
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("doc_id", "text", "lang")
+    odd = [(9000, None, "en"), (9001, "", "xx"), (9002, "ONLY " * 40, None), (9003, "123 456 " * 30, "xx")]
+    docs = docs.unionByName(spark.createDataFrame(odd, docs.schema))
+    found = {r.doc_id: r for r in rules.judge(docs).collect()}
+    kinds, texts = len(rules.CLASSES), {r.doc_id: (r.text or "", r.lang if r.lang in rules.COMMON else None) for r in docs.collect()}
+
+    def kind(c):
+        if ord(c) >= 128:
+            return 8 if ord(c) < 0x800 else 9 if ord(c) < 0x10000 else 10
+        return 0 if c.islower() else 1 if c.isupper() else 2 if c.isdigit() else 3 if c in "\t\x0b\x0c " else 4 if c in "\r\n" else 5 if c in ".,;:?" else 6 if c in "\"'()[]-" else 7
+
+    def counts(text, lang):
+        chars = [0] * kinds
+        for c in text:
+            chars[kind(c)] += 1
+        common = rules.COMMON.get(lang, [])
+        words = [0] * 21
+        for piece in text.split() if lang else []:
+            word = re.sub(r"^[\"'(\[]+|[.,;:?!\"')\]]+$", "", piece)
+            word = word[:1].lower() + word[1:]
+            words[common.index(word) if word in common else len(common)] += 1
+        return chars, words
+
+    def distance(have, reference):
+        if not sum(have) or reference is None:
+            return None
+        p = [x / sum(have) for x in have]
+        part = lambda a, b: sum(x * np.log2(x / ((x + y) / 2)) for x, y in zip(a, b, strict=True) if x)
+        return max(0.0, (part(p, reference) + part(reference, p)) / 2) ** 0.5
+
+    held = {i: counts(t, lang) for i, (t, lang) in texts.items()}
+    references = {}
+    for lang in {lang for _, lang in texts.values()}:
+        long = [i for i, (_, other) in texts.items() if other == lang and not found[i].base_failed and found[i].n_words >= 40]
+        for part in (0, 1):
+            shares = [[x / sum(held[i][part]) for x in held[i][part]] for i in long if sum(held[i][part])]
+            references[lang, part] = [sum(x) / len(shares) for x in zip(*shares, strict=True)] if shares else None
+    for i, (_, lang) in texts.items():
+        r, bad = found[i], found[i].base_failed
+        for part, said, size, least, most, slack in ((0, r.char_distance, r.word_chars, rules.MIN_CHARS, rules.MAX_CHAR_DISTANCE, rules.CHAR_SLACK), (1, r.word_distance, r.n_words, rules.MIN_COMMON, rules.MAX_WORD_DISTANCE, rules.WORD_SLACK)):
+            d = distance(held[i][part], references[lang, part]) if size >= least else None
+            assert (said is None) == (d is None) and (d is None or said == pytest.approx(d, abs=1e-9))
+            bad = bad or (d is not None and d > most + slack / max(1, size) ** 0.5)
+        assert r.kept == (not bad)
+    assert 0 < sum(r.kept for r in found.values()) < len(found)
+
+
 # ---- 8 and 9 -------------------------------------------------------------------------------------
 
 
@@ -375,9 +673,22 @@ def test_near_duplicates_on_odd_rows(docs, empty):
     linked = [(a, b) for a in range(n) for b in range(a) if bin(prints[a][1] ^ prints[b][1]).count("1") <= 2]
     wanted = [prints[k][0] for k in _components(n, linked)]
     assert sorted((r.doc_id, r.fp % 2**64, r.component_id) for r in rows) == sorted((i, f, c) for (i, f), c in zip(prints, wanted, strict=True))
-    kept = simhash.representatives(docs)
-    assert kept.columns == docs.columns and sorted(r.doc_id for r in kept.collect()) == sorted({c for (i, _), c in zip(prints, wanted, strict=True) if i == c})
-    assert simhash.near_duplicates(empty).collect() == [] and simhash.representatives(empty).collect() == []
+    assert simhash.near_duplicates(empty).collect() == []
+    with pytest.raises(ValueError, match="even"):
+        simhash.links(docs.select(F.col("doc_id").alias("fp")), distance=3)
+
+
+def test_one_document_of_each_group_stays(spark, docs, empty):
+    """Null and repeated ids: every group keeps one row, whatever its id; equal texts are one group."""
+    odd = [Row(doc_id=None, text="first text without an id, five words"), Row(doc_id=None, text="another text that has no id at all"), Row(doc_id=7001, text="first text without an id, five words"), Row(doc_id=7002, text="one id"), Row(doc_id=7002, text="one id"), Row(doc_id=7002, text="two texts")]
+    table = spark.createDataFrame(odd, "doc_id long, text string").select("*", *[F.lit("z").alias(c) for c in ("k", "node", "c0", "least", "fp", "n", "x")])
+    kept = shingles.representatives(table)
+    assert kept.columns == table.columns
+    assert sorted((str(r.doc_id), r.text) for r in kept.collect()) == sorted([("None", odd[1].text), ("7001", odd[0].text), ("7002", "one id"), ("7002", "two texts")])
+    kept = shingles.representatives(docs)
+    texts = {t.lower().strip() for _, t in rows_of(docs)}
+    assert kept.columns == docs.columns and kept.count() == len(texts)
+    assert shingles.representatives(empty).collect() == [] and shingles.near_duplicates(empty).collect() == []
 
 
 def _vector_rows(rng):
@@ -406,6 +717,24 @@ def test_vectors_equal_brute_force(spark, block, monkeypatch):
     assert vectors.near_duplicates(df.limit(0)).collect() == []
 
 
+def test_vector_recall_by_brute_force(spark):
+    """At the production recall on 12,000 vectors: the links found, of all there are at or above the threshold."""
+    rng = np.random.default_rng(5)
+    base = rng.standard_normal((6000, 32))
+    noise = rng.standard_normal((6000, 32))
+    base /= np.linalg.norm(base, axis=1, keepdims=True)
+    noise -= (noise * base).sum(axis=1, keepdims=True) * base
+    noise /= np.linalg.norm(noise, axis=1, keepdims=True)
+    cosine = rng.uniform(0.94, 0.97, (6000, 1))
+    every = np.concatenate([base, cosine * base + np.sqrt(1 - cosine**2) * noise])
+    df = spark.createDataFrame([(n, v) for n, v in enumerate(every.tolist())], "vec_id long, embedding array<double>")
+    found = {r.vec_id: r for r in vectors.near_duplicates(df).collect()}
+    unit = every / np.linalg.norm(every, axis=1, keepdims=True)
+    degree = np.concatenate([(unit[k : k + 2000] @ unit.T >= vectors.THRESHOLD).sum(axis=1) - 1 for k in range(0, len(unit), 2000)])
+    assert all(found[n].n_links <= degree[n] for n in range(len(unit)))
+    assert sum(found[n].n_links for n in range(len(unit))) >= 0.98 * degree.sum() and degree.sum() > 5000
+
+
 def test_vector_recall_and_repeated_ids(spark):
     k, tables = vectors.sizes(10_000)
     meet = vectors.collision(np.sqrt(0.1)) ** k

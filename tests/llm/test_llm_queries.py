@@ -8,7 +8,9 @@ import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from versicle.llm import packing, queries, simhash
+from versicle.llm import packing, queries
+
+from test_shingles import brute_force
 
 SF = "/root/testdata/sf0.001"
 
@@ -45,17 +47,9 @@ def test_pipeline_stages(spark, tmp_path):
         docs = spark.read.parquet(str(tmp_path / name))
         after = docs.collect()
         assert docs.columns == given.columns and all(before[r.doc_id] == r for r in after)
-        if name == "simhash":  # brute force: one of each group stays, the smallest
-            prints = {i: simhash.fingerprint_of(r.text) for i, r in before.items()}
-            group = {i: i for i in prints}
-            changed = True
-            while changed:
-                changed = False
-                for a in prints:
-                    least = min(group[b] for b in prints if bin(prints[a] ^ prints[b]).count("1") <= 2)
-                    if least < group[a]:
-                        group[a], changed = least, True
-            assert {r.doc_id for r in after} == {i for i in prints if group[i] == i}
+        if name == "simhash":  # one of each group of five-word shingle similarity 0.8 stays, the smallest
+            group = brute_force([(i, r.text) for i, r in before.items()])
+            assert {r.doc_id for r in after} == {i for i in group if group[i] == i}
     packed = corpus_pipeline.STAGES[3][1](spark, docs, SF).collect()
     assert {r.doc_id for r in packed} == {r.doc_id for r in docs.select("doc_id").collect()}
     fill = {}
