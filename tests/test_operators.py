@@ -1,7 +1,9 @@
 import json
+import re
 import urllib.error
 import zipfile
 
+import duckdb
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -9,9 +11,10 @@ from pyspark.errors import PySparkException
 from pyspark.sql import functions as F
 
 from versicle.functions import text as X
-from versicle.functions.stem import stem, with_stems
-from versicle.operators import answer, chunking, compare, dense, evalkit, fusion, index, lexical, providers, question
+from versicle.functions.stem import stem, stemmed
+from versicle.operators import answer, chunking, compare, dense, evalkit, fusion, index, lexical, providers, question, runs
 from versicle.plans import retrieve
+from versicle.plans.stem_sql import stem_tables
 from versicle.sources import files
 
 
@@ -19,7 +22,7 @@ def one(spark, value, expression, kind="string"):
     return spark.createDataFrame([(value,)], f"x {kind}").select(expression(F.col("x")).alias("y")).first().y
 
 
-@pytest.mark.parametrize("raw, cleaned", [(" What’s new in v2? ", "What's new in 2.0?"), ("V 2.1", "2.1"), ("ver. 3", "3.0"), ("revision 2", "revision 2"), (None, "")])
+@pytest.mark.parametrize("raw, cleaned", [(" What’s new in v2? ", "What's new in 2.0?"), ("V 2.1", "2.1"), ("ver. 3", "3.0"), ("revision 2", "revision 2"), (None, ""), ("version v2.0 changes", "version 2.0 changes"), ("v1 and V 2.5, ver. 3?", "1.0 and 2.5, 3.0?"), ("v2.", "2.0."), ("v1.2.3", "1.2.3")])
 def test_clean_question(spark, raw, cleaned):
     assert one(spark, raw, question.clean_question) == cleaned
 
@@ -37,6 +40,9 @@ def test_filters_and_removal(spark):
     # Two policies: neither is a filter, and neither is removed; versions are.
     assert (found[2].policy, found[2].versions, found[2].search_text) == (None, ["1.0"], "cat rules or dog rules?")
     assert found[3].search_text == ""
+    # Aliases of policies outside the catalog don't count.
+    one = question.extract_filters(spark.createDataFrame([(1, "english or french rules 1.0")], "qid int, question string"), spark.createDataFrame([("en", ["1.0"])], "policy string, versions array<string>"), {"en": ["english"], "fr": ["french rules"]}).first()
+    assert (one.policy, one.versions, one.search_text) == ("en", ["1.0"], "or french rules")
 
 
 @pytest.mark.parametrize("look, comp, route", [(0.4, 0.49, "lookup"), (0.6, 0.62, "compare"), (0.6, 0.61, "lookup"), (0.5, 0.5, "lookup")])
@@ -99,8 +105,17 @@ def test_titles_and_claims(spark):
 def test_stems(spark):
     known = {"generously": "generous", "hopping": "hop", "hoping": "hope", "skies": "sky", "allocated": "alloc", "allocation": "alloc", "knives": "knive", "consistency": "consist", "agreed": "agre", "by": "by"}
     assert {w: stem(w) for w in known} == known
-    rows = with_stems(spark.createDataFrame([("hoping",), (None,), ("hoping",)], "term string")).collect()
-    assert sorted(str(r.stem) for r in rows) == ["None", "hope", "hope"]
+    rows = spark.createDataFrame([(["hoping", "by", "hoping"],), (None,), ([],), (["skies"],)], "terms array<string>")
+    assert [r.s for r in rows.coalesce(1).select(stemmed(F.col("terms")).alias("s")).collect()] == [["hope", "by", "hope"], None, [], ["sky"]]
+
+
+def test_stems_agree_with_sql(spark):
+    """Two forms of the published algorithm, over the words of the documents and its own examples."""
+    words = {w for r in spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("text").collect() for w in re.findall("[a-z0-9]+", (r.text or "").lower())}
+    words |= set("caresses ponies ties cries gas kiwis feed agreed plastered motoring hopping hoping controlling sky cry by happy relational conditional valency digitizer operator feudalism decisiveness hopefulness sensitivity apology generate communism arsenal triplicate formative formalize electrical goodness revival airliner adoption probate rate controll roll succeed inning news dying early youth enjoyed fizzed national falling skill".split())
+    rows = ", ".join(f"('{w}')" for w in sorted(words))
+    found = duckdb.sql(f"WITH {stem_tables(f'SELECT * FROM (VALUES {rows}) t(term)')} SELECT term, stem FROM stems").fetchall()
+    assert len(found) == len(words) and all(stem(a) == b for a, b in found)
 
 
 LONG = "One is here. Two follows e.g. Three stays! " + "word " * 300 + ". Last No. 5 ends? Yes."
@@ -156,17 +171,30 @@ def test_files_to_index_and_answers(spark, tmp_path):
     store = index.IndexStore(spark, root)
     with pytest.raises(index.IndexMissing):
         store.active()
-    ingest = lambda: store.ingest(files.list_files(spark, str(docs)).select("name", "suffix", "sha256", "content"), retrieve.chunk_files, {"cap": 256})
-    assert len(ingest()["add"]) == 3
-    assert len(ingest()["skip"]) == 3
+    ingest = lambda: store.ingest(files.list_files(spark, str(docs)).select("name", "suffix", "sha256", "content"), retrieve.chunk_files, {"cap": 256}, embed=providers.embed)
+    report = ingest()
     first = store.active().count()
+    assert report.counts == {"skip": 0, "add": 3, "replace": 0, "delete": 0} and (report.embedded, report.reused) == (first, 0)
+    assert ingest().counts["skip"] == 3
+    before = store.manifest()["parts"]
     (docs / "Dogs Policy v1.0.html").unlink()
-    assert ingest()["delete"] == ["Dogs Policy v1.0.html"]
+    report = ingest()
+    assert report.counts["delete"] == 1 and [r.name for r in report.names("delete").collect()] == ["Dogs Policy v1.0.html"]
+    # Only the part of the file that went is written anew, and a changed name finds its vectors again.
+    assert sum(before[p] != name for p, name in store.manifest()["parts"].items()) == 1
+    (docs / "Cats Policy v2.0.docx").rename(docs / "More Cats Policy v2.0.docx")
+    report = ingest()
+    assert (report.counts["add"], report.counts["delete"], report.embedded, report.reused) == (1, 1, 0, 2)
     rows = store.active()
+    assert sorted(r.id for r in index.ids_for_source(rows, "More Cats Policy v2.0.docx").collect()) == sorted(r.id for r in index.all_ids(rows.where("version = '2.0'")).collect())
+    index.chunks_to_json(rows.drop("vector"), str(tmp_path / "json"))
+    assert spark.read.json(str(tmp_path / "json")).count() == rows.count()
+    with pytest.raises(FileExistsError):
+        store.create()
     assert rows.count() == first - 1 and retrieve.validate(rows).where("error IS NOT NULL").isEmpty()
     assert {r.id for r in rows.collect()} == {f"Cats Policy|{v}|{h}" for v in ("1.0", "2.0") for h in ("1. Scope > 1.1 Indoor", "2. Feeding")}
 
-    vectors = rows.select("id", providers.embed(F.col("embed_text")).alias("vector"))
+    vectors = rows.select("id", "vector")
     examples = spark.createDataFrame([("lookup", "how often are cats fed"), ("compare", "what changed between versions")], "kind string, text string")
     examples = examples.select("kind", providers.embed(F.col("text"), task="similarity").alias("vector"))
     raw = spark.createDataFrame([(1, "how often are cats fed?"), (2, "hi"), (3, "what changed between versions")], "qid int, text string")
@@ -175,17 +203,98 @@ def test_files_to_index_and_answers(spark, tmp_path):
     assert kinds == {1: (None, "lookup"), 2: ("filler", None), 3: (None, "compare")}
     assert {h.id.split("|")[1] for h in hits if h.qid == 1} == {"2.0"}
     assert {h.id.split("|")[1] for h in hits if h.qid == 3} == {"1.0", "2.0"}
-    found = spark.createDataFrame([(h.qid, h.id, h.rank) for h in hits if h.qid == 1], "qid int, id string, rank int")
-    targets = spark.createDataFrame([(1, "Cats Policy", "2.0")], "qid int, policy string, version string")
-    asked = spark.createDataFrame([(1, "how often?"), (5, "nothing found")], "qid int, question string")
-    told = {r.qid: r for r in retrieve.answer_lookups(asked, found, rows, targets).collect()}
+    told = {r.qid: r for r in retrieve.ask(raw, rows, vectors, {"Cats Policy": ["cats policy"]}, examples, generator=providers.ExtractiveGenerator).collect()}
     assert told[1].status == "answered" and "[1] Cats Policy 2.0, " in told[1].printed
-    assert told[5].printed == answer.NOT_IN_SOURCES
+    assert told[2].reason == "filler" and told[2].printed is None
+    assert told[3].kind == "compare" and "Cats Policy 1.0, " in told[3].printed and "Cats Policy 2.0, " in told[3].printed
+    store.drop()
+    store.drop()
+    with pytest.raises(index.IndexMissing):
+        store.active()
+
+
+def test_answers_to_lookups_and_comparisons(spark):
+    """Both routes' prompts, the schema's ids, the notes on one-sided sections, and no call without passages."""
+    chunk = "id string, policy string, version string, heading_path string, text string"
+    rows = spark.createDataFrame([("a", "P", "1.0", "1. Naps", "Naps last 5 minutes."), ("b", "P", "2.0", "1. Naps", "Naps last 9 minutes."), ("c", "P", "1.0", "2. Mats", "Mats are blue.")], chunk)
+    side = "struct<id:string,text:string,version:string,heading_path:string,section:string,source:string>"
+    as_side = lambda i, v, h, t: (i, t, v, h, h, "f")
+    pairs = spark.createDataFrame(
+        [(2, "P", "1.0", "2.0", 1, True, ["a", "b", "c"], "naps", "1. Naps", as_side("a", "1.0", "1. Naps", "Naps last 5 minutes."), as_side("b", "2.0", "1. Naps", "Naps last 9 minutes.")), (2, "P", "1.0", "2.0", 2, True, ["a", "b", "c"], "mats", "2. Mats", as_side("c", "1.0", "2. Mats", "Mats are blue."), None)],
+        f"qid int, policy string, old string, new string, rank int, reranked boolean, in_fused array<string>, title string, heading_path string, previous {side}, current {side}",
+    )
+    hits = spark.createDataFrame([(1, "a", 1, True, ["a"])], "qid int, id string, rank int, reranked boolean, in_fused array<string>")
+    targets = spark.createDataFrame([(1, "P", "1.0")], "qid int, policy string, version string")
+    asked = spark.createDataFrame([(1, "how long?", "lookup"), (2, "what changed?", "compare"), (3, "nothing found", "lookup")], "qid int, question string, kind string")
+
+    class Echo:
+        def generate(self, prompt, system=None, schema=None):
+            import json
+
+            ids = schema["properties"]["claims"]["items"]["properties"]["chunk_id"]["enum"]
+            assert system and schema["properties"]["status"]["enum"][0] == "answered" and all(f'id="{i}"' in prompt for i in ids)
+            return json.dumps({"status": "answered", "claims": [{"text": prompt.split("Route: ")[1].split("\n")[0], "chunk_id": i} for i in ids]})
+
+    told = {r.qid: r for r in retrieve.answers(asked, hits, pairs, rows, targets, Echo).collect()}
+    assert told[1].printed == "lookup on P 1.0.\n\nSources\n[1] P 1.0, 1. Naps"
+    assert told[2].printed.startswith("compare P 1.0 -> 2.0. compare P 1.0 -> 2.0. compare P 1.0 -> 2.0.\nRemoved in version 2.0: Mats.\n\nSources\n[1] P 1.0, 1. Naps")
+    assert told[3].printed == answer.NOT_IN_SOURCES and told[3].status == "not_in_sources"
+    assert sorted((r.qid, r.chunk_id, r.other) for r in answer.counterparts(pairs).collect()) == [(2, "a", "Naps last 9 minutes."), (2, "b", "Naps last 5 minutes."), (2, "c", None)]
+    assert sorted((r.qid, r.id) for r in retrieve.compare_hits(pairs).collect()) == [(2, "a"), (2, "b"), (2, "c")]
+
+
+def test_evaluation_of_retrieval_and_routes(spark):
+    cases = spark.createDataFrame([(1, "lookup", ["a"]), (2, "lookup", ["a"]), (3, "compare", []), (4, "lookup", ["b"]), (5, "lookup", ["a"])], "case_id int, route string, gold_chunks array<string>")
+    kinds = spark.createDataFrame([(1, "lookup"), (2, "lookup"), (3, "compare"), (4, "compare"), (5, "lookup")], "qid int, kind string")
+    found = spark.createDataFrame([(1, "a", True, ["a", "b"]), (2, "b", True, ["a", "b"]), (4, "b", True, ["b"]), (5, "b", False, ["a", "b"])], "qid int, id string, reranked boolean, in_fused array<string>")
+    rows = {r.case_id: r.passes for r in evalkit.score_retrieval(cases, kinds, found).collect()}
+    assert rows == {1: True, 2: False, 3: True, 4: False, 5: True}
+    scores = spark.createDataFrame([(1, 0.9, 0.1, "lookup"), (2, 0.4, 0.45, "lookup"), (3, 0.6, 0.7, "compare")], "qid int, best_lookup double, best_compare double, route string")
+    report = evalkit.route_report(scores, spark.createDataFrame([(1, "lookup"), (2, "lookup"), (3, "lookup")], "qid int, expected string")).first()
+    assert (report.problems, report.lowest, report.lowest_qid) == (2, 0.45, 2)
+
+
+def test_runs_around_queries(spark, tmp_path, capsys, monkeypatch):
+    env = tmp_path / ".env"
+    env.write_text("# note\nKEY = 'a b'\nnothing\nOTHER=\"x=y\"\n")
+    monkeypatch.delenv("KEY", raising=False)
+    assert runs.read_env(env) == {"KEY": "a b", "OTHER": "x=y"} and runs.setting("KEY", "d", env) == "a b"
+    monkeypatch.setenv("KEY", "c")
+    assert runs.setting("KEY", path=env) == "c" and runs.setting("NO", "d", env) == "d" and runs.read_env(tmp_path / "none") == {}
+    facts = runs.provenance({"embed": "abc"}, {"id": "1"}, folder=tmp_path)
+    assert facts["code"] == "unknown" and set(facts["prompts"]) == {"lookup", "compare"} and facts["models"] == {"embed": "abc"}
+    runs.write_result(spark.range(3), str(tmp_path / "out"), facts)
+    assert spark.read.json(str(tmp_path / "out/cases")).count() == 3 and json.loads(spark.read.text(str(tmp_path / "out/facts")).first().value) == json.loads(json.dumps(facts))
+    runs.console(silent=True)
+    runs.console(silent=True).info("hidden")
+    runs.logger.warning("seen")
+    with runs.stage("quiet"):
+        pass
+    with runs.stage("slow", trace=True):
+        pass
+    told = capsys.readouterr().err
+    assert told.count("seen") == 1 and "hidden" not in told and "slow latency=" in told and "quiet" not in told
+    waits = []
+    providers.pace(None, 6, waits.append)
+    providers.pace(providers.OverlapReranker, 6, waits.append)
+    assert waits == [6]
+    calls = []
+
+    class Counting(providers.HashingEmbedder):
+        def embed(self, texts, task):
+            calls.append(task)
+            return super().embed(texts, task)
+
+    examples, first = providers.Examples(["how many days"], ["what changed"]), Counting()
+    assert examples.vectors(first) == examples.vectors(first) and [k for k, _ in examples.vectors(first)] == ["lookup", "compare"]
+    examples.vectors(Counting())
+    assert calls == ["similarity", "similarity"]
 
 
 def test_failed_rebuild_keeps_the_old_index(spark, tmp_path):
     store = index.IndexStore(spark, str(tmp_path / "i"))
     rows = spark.createDataFrame([("a",), ("b",)], "id string")
+    rows = rows.withColumn("source", F.lit("f"))
     listed = lambda ids: spark.createDataFrame([("f", "h", ids)], "name string, sha256 string, chunk_ids array<string>")
     kept = store.publish(rows, listed(["a", "b"]), {"n": 1})
     for wrong in (["a"], ["a", "b", "c"], []):
@@ -272,9 +381,21 @@ def test_answer_checks(spark):
     assert sorted(row.misses) == ["cited a chunk outside gold: b", "cited a chunk outside gold: q", "missing fact 40", "repeated claim"]
 
 
-def test_contradicted_change(spark):
-    row = spark.range(1).select(X.contradicted_change(F.lit("It increased"), F.lit("5 days!"), F.lit("Five? no: 5 days")).alias("a"), X.contradicted_change(F.lit("It changed"), F.lit("A b."), F.lit("a B")).alias("b"), X.contradicted_change(F.lit("It has not changed"), F.lit("a"), F.lit("a")).alias("c")).first()
-    assert (row.a, row.b, row.c) == ("both versions give the same numbers", "both versions have the same text", None)
+@pytest.mark.parametrize(
+    "claim, cited, other, reason",
+    [
+        ("It increased", "5 days!", "Five? no: 5 days", "both versions give the same numbers"),
+        ("It changed", "A b.", "a B", "both versions have the same text"),
+        ("It has not changed", "a", "a", None),
+        ("It increased", "In version 1.0: 5 days", "In version 2.0: 5 days", "both versions give the same numbers"),
+        ("It increased", "In version 1.0: 5 days", "In version 2.0: 6 days", None),
+        ("It increased", "In version 1.0: some days", "In version 2.0: other days", None),
+        ("It increased", "5 days", None, None),
+    ],
+)
+def test_contradicted_change(spark, claim, cited, other, reason):
+    row = spark.createDataFrame([(claim, cited, other, ["1.0", "2.0"])], "a string, b string, c string, v array<string>")
+    assert row.select(X.contradicted_change(*map(F.col, "abcv")).alias("r")).first().r == reason
 
 
 def test_lookup_without_targets_scans_everything(spark):

@@ -122,9 +122,10 @@ def has_change_language(text: Column, own_version: Column | None = None) -> Colu
     return text.rlike(CHANGE)
 
 
-def contradicted_change(claim: Column, cited: Column, other: Column) -> Column:
-    """Why a claim of change is contradicted by its two passages, or null."""
-    same_numbers = claim.rlike(AMOUNT_CHANGE) & (F.size(numbers(cited)) > 0) & (numbers(cited) == numbers(other))
+def contradicted_change(claim: Column, cited: Column, other: Column, versions: Column) -> Column:
+    """Why a claim of change is contradicted by its two passages, or null; labels of ``versions`` are no numbers."""
+    amounts = lambda text: F.array_except(numbers(text), versions)
+    same_numbers = claim.rlike(AMOUNT_CHANGE) & (F.size(amounts(cited)) > 0) & (amounts(cited) == amounts(other))
     reason = F.when(plain(cited) == plain(other), "both versions have the same text").when(same_numbers, "both versions give the same numbers")
     return F.when(other.isNotNull() & asserts_change(claim), reason)
 

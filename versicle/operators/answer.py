@@ -23,10 +23,16 @@ def parse_answer(raw: Column) -> Column:
     return F.when(F.coalesce(valid, F.lit(False)), read).otherwise(nothing)
 
 
-def answer_schema(chunk_ids: list[str]) -> dict:
-    """The JSON schema that lets a model name only ids that it was shown."""
-    claim = {"type": "object", "properties": {"text": {"type": "string"}, "chunk_id": {"type": "string", "enum": list(chunk_ids)}}, "required": ["text", "chunk_id"]}
-    return {"type": "object", "properties": {"status": {"enum": STATUSES}, "claims": {"type": "array", "items": claim}}, "required": ["status", "claims"]}
+def schema_json(chunk_ids: Column) -> Column:
+    """The JSON schema, as text, that lets a model name only the ids it was shown."""
+    text = F.struct(F.lit("string").alias("type"))
+    claim = F.struct(
+        F.lit("object").alias("type"),
+        F.struct(text.alias("text"), F.struct(F.lit("string").alias("type"), chunk_ids.alias("enum")).alias("chunk_id")).alias("properties"),
+        F.array(F.lit("text"), F.lit("chunk_id")).alias("required"),
+    )
+    properties = F.struct(F.struct(F.array(*map(F.lit, STATUSES)).alias("enum")).alias("status"), F.struct(F.lit("array").alias("type"), claim.alias("items")).alias("claims"))
+    return F.to_json(F.struct(F.lit("object").alias("type"), properties.alias("properties"), F.array(F.lit("status"), F.lit("claims")).alias("required")))
 
 
 def describe_lookup(targets: Column) -> Column:
@@ -115,6 +121,20 @@ def render(answers: DataFrame, sources: DataFrame) -> DataFrame:
     return rows.select("qid", F.when(nothing, NOT_IN_SOURCES).otherwise(F.concat(body, F.lit("\n\n"), listing)).alias("printed"))
 
 
+def sources(shown: DataFrame, pairs: DataFrame) -> DataFrame:
+    """``qid, chunk_id, policy, version, heading_path, passage`` of every passage that was shown: hits, and both sides of pairs under the pair's policy."""
+    sides = pairs.select("qid", "policy", F.explode(F.array_compact(F.array("previous", "current"))).alias("s"))
+    both = sides.select("qid", F.col("s.id").alias("chunk_id"), "policy", "s.version", "s.heading_path", F.col("s.text").alias("passage"))
+    return shown.select("qid", F.col("id").alias("chunk_id"), "policy", "version", "heading_path", F.col("text").alias("passage")).unionByName(both)
+
+
+def counterparts(pairs: DataFrame) -> DataFrame:
+    """``qid, chunk_id, other``: the text of each passage's counterpart in the other version, null if it has none."""
+    old, new = F.col("previous"), F.col("current")
+    swapped = F.array(F.struct(old["id"].alias("chunk_id"), new["text"].alias("other")), F.struct(new["id"].alias("chunk_id"), old["text"].alias("other")))
+    return pairs.select("qid", F.explode(swapped).alias("s")).select("qid", "s.chunk_id", "s.other").where("chunk_id IS NOT NULL")
+
+
 def number_citations(claims: DataFrame) -> DataFrame:
     """``qid, chunk_id, number``: sources numbered as first cited by ``claims(qid, pos, chunk_id)``."""
     first = claims.groupBy("qid", "chunk_id").agg(F.min("pos").alias("pos"))

@@ -12,6 +12,7 @@ from versicle.functions.text import estimate_tokens, word_count
 from versicle.functions.versions import normalize_version
 
 TITLE_LINES, MAX_TOKENS, OVERLAP = 5, 256, 1
+# How titles, file names and numbered headings are written.
 _TITLE = r"^\s*(.+?\bPolicy)\s*[—–-]\s*Version\s+([0-9]+(?:\.[0-9]+)*)\s*$"
 _FILE = r"^(?:.+? - )?(.+?)\s+v([0-9]+(?:\.[0-9]+)*)$"
 _HEADING = r"^([0-9]+\.[0-9]+(?:\.[0-9]+)*)\s+(.*)$|^([0-9]+)\.\s+(.*)$"

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from versicle.functions.text import normalize_title
@@ -39,7 +39,7 @@ def renamed(title: Column, renames: dict[str, str]) -> Column:
     """An exact new title first, else that of the longest parent (``parent > ...``) that has one."""
     out = title
     for old in sorted(renames, key=lambda t: (len(t), t)):
-        out = F.when(title.startswith(old + " > "), F.concat(F.lit(renames[old]), F.substring(title, len(old) + 1, 1 << 20))).otherwise(out)
+        out = F.when(title.startswith(old + " > "), F.concat(F.lit(renames[old]), F.substring(title, F.lit(len(old) + 1), F.length(title)))).otherwise(out)
     for old, new in renames.items():
         out = F.when(title == old, F.lit(new)).otherwise(out)
     return out
@@ -64,26 +64,24 @@ def pair_by_title(old: DataFrame, new: DataFrame, renames: dict[str, str] | None
     return joined.select("policy", "title", "ordinal", F.coalesce("current.heading_path", "previous.heading_path").alias("heading_path"), "previous", "current")
 
 
-def rank_pairs(pairs: DataFrame, hits_old: DataFrame, hits_new: DataFrame, sizes: DataFrame, top_k: int = 20) -> DataFrame:
-    """``qid, policy, title, score, best_rank, rank`` by the better side's score and rank.
+def rank_pairs(pairs: DataFrame, hits: DataFrame, top_k: int = 20) -> DataFrame:
+    """``qid, policy, title, ordinal, score, best_rank, rank``: each question's pairs of its policy by the better side's score and rank.
 
-    ``pairs`` have ``qid``; ``hits`` have ``qid, id, score, best_rank``; ``sizes`` has ``qid, absent``: the rank of a
-    pair without a hit, one more than both lists are long.
+    ``pairs`` are those of ``pair_by_title``; ``hits`` have ``qid, policy, id, score, best_rank`` of both versions. Pairs without a hit
+    come last, by title, at one rank more than both lists are long. Only pairs with hits, and as many of each
+    policy's first by title as can be needed, meet questions.
     """
-    left = hits_old.select("qid", F.col("id").alias("previous_id"), F.col("score").alias("s1"), F.col("best_rank").alias("r1"))
-    right = hits_new.select("qid", F.col("id").alias("current_id"), F.col("score").alias("s2"), F.col("best_rank").alias("r2"))
-    rows = pairs.withColumns({"previous_id": F.col("previous.id"), "current_id": F.col("current.id")})
-    rows = rows.join(left, ["qid", "previous_id"], "left").join(right, ["qid", "current_id"], "left").join(sizes, "qid", "left")
-    scored = rows.select("qid", "policy", "title", "ordinal", F.coalesce(F.greatest("s1", "s2"), F.lit(0.0)).alias("score"), F.coalesce(F.least("r1", "r2"), "absent", F.lit(1)).alias("best_rank"))
-    return ranked(scored, ["qid"], [F.desc("score"), F.asc("best_rank"), F.asc("title"), F.asc("policy"), F.asc("ordinal")], top_k)
+    sides = pairs.select("policy", "title", "ordinal", F.explode(F.array_distinct(F.array("previous.id", "current.id"))).alias("id")).where("id IS NOT NULL")
+    sizes = hits.groupBy("qid", "policy").agg((F.count("*") + 1).cast("int").alias("absent"))
+    met = hits.join(sides, ["policy", "id"]).groupBy("qid", "policy", "title", "ordinal").agg(F.max("score").alias("score"), F.min("best_rank").alias("best_rank"))
+    most = sizes.agg(F.max("absent")).first()[0] or 0  # one number: no list is longer than the searches' own limits
+    first = ranked(pairs.select("policy", "title", "ordinal"), ["policy"], [F.asc("title"), F.asc("ordinal")], top_k + most).drop("rank")
+    keys = ["qid", "policy", "title", "ordinal"]
+    rest = sizes.join(first, "policy").join(met.select(*keys), keys, "left_anti").select(*keys, F.lit(0.0).alias("score"), F.col("absent").alias("best_rank"))
+    return ranked(met.unionByName(rest), ["qid", "policy"], [F.desc("score"), F.asc("best_rank"), F.asc("title"), F.asc("ordinal")], top_k)
 
 
 def latest(chunks: DataFrame) -> DataFrame:
     """The chunks of each policy's latest version."""
     newest = chunks.groupBy("policy").agg(F.max_by("version", version_key(F.col("version"))).alias("version"))
     return chunks.join(newest, ["policy", "version"], "left_semi")
-
-
-def first_of_each(rows: DataFrame, by: list[str], order: list) -> DataFrame:
-    """The first row of each group."""
-    return rows.withColumn("__n", F.row_number().over(Window.partitionBy(*by).orderBy(*order))).where("__n = 1").drop("__n")

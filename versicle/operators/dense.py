@@ -1,13 +1,17 @@
-"""Exact vector search by cosine, batched over questions."""
+"""Exact vector search by cosine, batched over questions, as products of blocks."""
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from versicle.operators.lexical import ranked
 
 TOP_K = 20
+#: Vectors of a block: what one row holds of the questions, and of the vectors they meet.
+QUESTION_BLOCK, VECTOR_BLOCK = 512, 2048
 
 
 def _dot(a: Column, b: Column) -> Column:
@@ -22,22 +26,60 @@ def cosine(a: Column, b: Column) -> Column:
     return F.when(F.coalesce(fit, F.lit(False)), _dot(a, b) / norms).otherwise(0.0)
 
 
-def _unit(v: Column) -> Column:
-    """The vector at length 1, once for each row rather than for each pair; null where it has no direction."""
-    norm = F.sqrt(_dot(v, v))
-    return F.when((F.size(v) > 0) & (norm > 0), F.transform(v, lambda x: x.cast("double") / norm))
+def _blocks(rows: DataFrame, key: str, size: int, id_name: str, side: str) -> DataFrame:
+    """``key, {side}_ids, {side}_vectors``: about ``size`` rows of one key together, by a hash of their ids."""
+    counts = rows.groupBy(key).agg(F.ceil(F.count("*") / size).alias("blocks"))
+    placed = rows.join(counts, key).withColumn("block", F.pmod(F.xxhash64(id_name), F.col("blocks")))
+    held = F.collect_list(F.struct(F.col(id_name).alias("id"), F.coalesce(F.col("vector").cast("array<double>"), F.array().cast("array<double>")).alias("v")))
+    packed = placed.groupBy(key, "block").agg(held.alias("rows"))
+    return packed.select(key, F.col("rows")["id"].alias(f"{side}_ids"), F.col("rows")["v"].alias(f"{side}_vectors"))
+
+
+def _unit(lists: pa.Array, dim: int) -> np.ndarray:
+    """The vectors of ``dim`` numbers at length 1, as rows; others, those without direction, and those that hold a null or a number that isn't finite, as zeros."""
+    lengths = lists.value_lengths().to_numpy(zero_copy_only=False)
+    fit = np.flatnonzero(lengths == dim)
+    out = np.zeros((len(lists), dim))
+    if dim and len(fit):
+        out[fit] = lists.take(pa.array(fit)).flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(-1, dim)
+        out[~np.isfinite(out).all(axis=1)] = 0.0
+        norm = np.sqrt((out * out).sum(axis=1, keepdims=True))
+        out = np.divide(out, norm, out=np.zeros_like(out), where=norm > 0)
+    return out
+
+
+def _best(top_k: int):
+    """The best of a block of vectors for each question of a block; what rounding may tie with the last of them is kept."""
+
+    def made(batches):
+        for batch in batches:
+            for row in range(batch.num_rows):
+                ids, asked = batch["v_ids"][row].values, batch["q_ids"][row].values
+                questions, vectors = batch["q_vectors"][row].values, batch["v_vectors"][row].values
+                dims = questions.value_lengths().to_numpy(zero_copy_only=False)
+                similarity = np.zeros((len(asked), len(ids)))
+                for dim in np.unique(dims):
+                    similarity[dims == dim] = _unit(questions, int(dim))[dims == dim] @ _unit(vectors, int(dim)).T
+                rounded = np.round(similarity, 6)
+                least = np.partition(rounded, -top_k, axis=1)[:, -top_k] if rounded.shape[1] > top_k else np.full(len(asked), -2.0)
+                q, v = np.nonzero(rounded >= least[:, None] - 1.5e-6)
+                yield pa.RecordBatch.from_arrays([asked.take(pa.array(q)), ids.take(pa.array(v)), pa.array(similarity[q, v])], ["qid", "id", "similarity"])
+
+    return made
 
 
 def dense_topk(questions: DataFrame, vectors: DataFrame, top_k: int = TOP_K, target_col: str | None = None) -> DataFrame:
     """``qid, id, similarity, rank`` from ``questions(qid, vector[, target])`` and ``vectors(id, vector[, target])``.
 
-    A stated batch of questions meets every vector, in partitions of the vectors: nothing is
-    sorted that isn't among a question's best of a partition. With targets, a question meets
-    the vectors of its targets only. Similarities are rounded to six digits; ties go to the least id.
+    The stated questions meet every vector, with targets those of their own: blocks of questions are joined with
+    blocks of vectors, a task holds one of each, and only a block's best leave it. Similarities are rounded
+    to six digits; ties go to the least id. A vector without direction, or of another length, is at 0 to any other.
     """
-    asked = questions.select("qid", _unit(F.col("vector")).alias("q"), *([target_col] if target_col else []))
-    held = vectors.select("id", _unit(F.col("vector")).alias("v"), *([target_col] if target_col else []))
-    met = held.join(asked, target_col) if target_col else held.crossJoin(asked)
-    similarity = F.coalesce(F.when(F.size("q") == F.size("v"), _dot(F.col("q"), F.col("v"))), F.lit(0.0))
-    scored = met.select("qid", "id", F.round(similarity, 6).alias("similarity"))
-    return ranked(scored, ["qid"], [F.desc("similarity"), F.asc("id")], top_k)
+    key = target_col or "__all"
+    named = lambda df: df if target_col else df.withColumn("__all", F.lit(0))
+    asked = _blocks(named(questions).select(key, "qid", "vector"), key, QUESTION_BLOCK, "qid", "q")
+    held = _blocks(named(vectors).select(key, "id", "vector"), key, VECTOR_BLOCK, "id", "v")
+    met = held.join(asked, key).select("q_ids", "q_vectors", "v_ids", "v_vectors")
+    qid, vid = (df.schema[c].dataType.simpleString() for df, c in ((questions, "qid"), (vectors, "id")))
+    scored = met.mapInArrow(_best(top_k), f"qid {qid}, id {vid}, similarity double")
+    return ranked(scored.withColumn("similarity", F.round("similarity", 6)), ["qid"], [F.desc("similarity"), F.asc("id")], top_k)

@@ -21,11 +21,54 @@ def retrieval_hits(questions: DataFrame, gold: DataFrame, found: DataFrame) -> D
     return rows.select("qid", F.coalesce("n", F.lit(0)).alias("n_gold"), F.coalesce(F.col("n") == F.col("n_met"), F.lit(True)).alias("hit"))
 
 
+def containing(items: DataFrame, docs: DataFrame, id_col: str = "id", text_col: str = "text") -> DataFrame:
+    """``qid, id`` of the documents that contain an item as it stands, from ``items(qid, item)``.
+
+    A document that contains an item holds the item's words but its first and last, which may be cut out of longer ones.
+    Documents are looked up by the rarest of these alone, and then searched; an item of fewer than
+    three words has none, and meets every document.
+    """
+    spaced = lambda text: F.filter(F.split(text, r"\s+"), lambda w: w != "")
+    inner = F.array_distinct(F.slice(F.split("item", r"\s+"), 2, F.greatest(F.lit(0), F.size(F.split("item", r"\s+")) - 2)))
+    asked = items.where(F.col("item").isNotNull()).select("qid", "item", F.explode(F.filter(inner, lambda w: w != "")).alias("word"))
+    held = docs.select(F.col(id_col).alias("id"), F.explode(F.array_distinct(spaced(F.col(text_col)))).alias("word")).join(asked.select("word").distinct(), "word", "left_semi")
+    often = held.groupBy("word").agg(F.count("*").alias("n"))
+    rare = asked.join(often, "word", "left").groupBy("qid").agg(F.min_by("word", F.struct(F.coalesce("n", F.lit(0)), "word")).alias("word"))
+    met = held.join(rare, "word").select("qid", "id")
+    texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
+    found = met.join(texts, "id").join(items, "qid")
+    short = texts.join(items.join(rare, "qid", "left_anti").where(F.col("item").isNotNull()), F.contains(F.col("text"), F.col("item")))
+    return found.where(F.contains(F.col("text"), F.col("item"))).select("qid", "id").unionByName(short.select("qid", "id"))
+
+
 def passes_gate(route_ok: Column, n_gold: Column, in_fused: Column, reranked: Column, in_top: Column) -> Column:
     """The route is right and, where there is gold, it is among the fused, and among the first if a reranker ranked them."""
     return route_ok & ((n_gold == 0) | (in_fused & (~reranked | in_top)))
 
 
+def score_retrieval(cases: DataFrame, kinds: DataFrame, found: DataFrame) -> DataFrame:
+    """``case_id, route_ok, n_gold, in_fused, in_top, reranked, passes`` of ``cases(case_id, route, gold_chunks)``.
+
+    ``kinds`` has ``qid, kind``, the route each took; ``found`` has ``qid, id, reranked, in_fused`` of the kept hits, a row each.
+    """
+    none = F.array().cast("array<string>")
+    by_case = found.groupBy("qid").agg(F.collect_set("id").alias("top"), F.first("in_fused").alias("fused"), F.max("reranked").alias("reranked"))
+    rows = cases.join(kinds.withColumnRenamed("qid", "case_id"), "case_id", "left").join(by_case.withColumnRenamed("qid", "case_id"), "case_id", "left")
+    gold = F.coalesce("gold_chunks", none)
+    rows = rows.select("case_id", F.coalesce(F.col("kind") == F.col("route"), F.lit(False)).alias("route_ok"), F.size(gold).alias("n_gold"), retrieval_hit(gold, F.coalesce("fused", none)).alias("in_fused"), retrieval_hit(gold, F.coalesce("top", none)).alias("in_top"), F.coalesce("reranked", F.lit(False)).alias("reranked"))
+    return rows.withColumn("passes", passes_gate(*[F.col(c) for c in ("route_ok", "n_gold", "in_fused", "reranked", "in_top")]))
+
+
+def route_report(scores: DataFrame, cases: DataFrame, floor: float = 0.50) -> DataFrame:
+    """One row ``problems, lowest, lowest_qid``: cases routed wrongly or under the floor, and the lowest best similarity with its case.
+
+    ``scores`` are those of ``question.route_scores``; ``cases`` has ``qid, expected``.
+    """
+    rows = scores.join(cases, "qid").withColumn("best", F.greatest("best_lookup", "best_compare"))
+    wrong = (F.col("route") != F.col("expected")) | (F.col("best") < floor)
+    return rows.agg(F.count_if(wrong).alias("problems"), F.min("best").alias("lowest"), F.min_by("qid", F.struct("best", "qid")).alias("lowest_qid"))
+
+
 def totals(rows: DataFrame) -> DataFrame:
     """One row of sums over ``route_ok, misses, inventions, skipped``."""
     clean = ~F.col("skipped") & (F.size("misses") == 0) & (F.size("inventions") == 0)
@@ -59,7 +102,7 @@ def claim_problems(claims: DataFrame, passages: DataFrame) -> DataFrame:
     told = (F.col("route") == "lookup") & has_change_language(F.col("text"), F.coalesce("version", F.lit(""))) & ~has_change_language(F.col("passage"))
     change = F.when(told, F.array(F.concat(F.lit("describes a change that the source does not: "), "text"))).otherwise(none)
     unknown = F.array(F.concat(F.lit("cites a chunk that was not retrieved: "), "chunk_id"))
-    reason = F.when(F.col("route") == "compare", contradicted_change(F.col("text"), F.col("passage"), F.col("other")))
+    reason = F.when(F.col("route") == "compare", contradicted_change(F.col("text"), F.col("passage"), F.col("other"), known))
     misses = F.when(reason.isNotNull(), F.array(F.concat(F.lit("claims a change, but "), reason))).otherwise(none)
     return rows.select("case_id", "pos", F.when(F.col("passage").isNull(), unknown).otherwise(F.concat(extra, stale, change)).alias("inventions"), misses.alias("misses"))
 

@@ -1,15 +1,23 @@
-"""The index as Parquet builds behind a pointer: diffs, upserts, integrity, and the atomic switch."""
+"""The index as Parquet folders behind a pointer: diffs, upserts, integrity, and the atomic switch."""
 
 from __future__ import annotations
 
 import hashlib
 import json
 from collections.abc import Callable
+from dataclasses import dataclass
 from datetime import UTC, datetime
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+#: Parts of an index, by a hash of the source: what an ingest writes anew is the parts of changed files.
+PARTS = 64
+
+
+def _part(source: str) -> Column:
+    return F.pmod(F.xxhash64(source), F.lit(PARTS)).cast("int")
+
 
 def diff_files(found: DataFrame, recorded: DataFrame) -> DataFrame:
     """``name, action`` (skip, add, replace, delete) from two tables ``name, sha256``."""
@@ -52,11 +60,34 @@ def integrity(stored: DataFrame, files: DataFrame) -> DataFrame:
     return counts.crossJoin(empty).withColumn("ok", sound)  # one row each
 
 
+def ids_for_source(rows: DataFrame, source: str) -> DataFrame:
+    """``id`` of the chunks of one source."""
+    return rows.where(F.col("source") == source).select("id")
+
+
+def all_ids(rows: DataFrame) -> DataFrame:
+    return rows.select("id")
+
+
+def chunks_to_json(chunks: DataFrame, path: str) -> None:
+    """The chunks as JSON records, a line each, wherever Spark writes."""
+    chunks.write.mode("overwrite").json(path)
+
+
 def build_id(params: dict) -> str:
     """Twelve hex digits of the canonical JSON of what an index depends on."""
     return hashlib.sha256(json.dumps(params, sort_keys=True, separators=(",", ":")).encode()).hexdigest()[:12]
 
 
+def empty_manifest() -> dict:
+    return {"active": None, "builds": {}, "parts": {}}
+
+
+def staging_name(build: str, now: datetime | None = None) -> str:
+    """A new folder for each build, so that the active one is never written to: the stamp has microseconds."""
+    return f"build-{build}-{now or datetime.now(UTC):%Y%m%dT%H%M%S%f}"
+
+
 class IndexMissing(RuntimeError):
     """There is no active index, or it is empty."""
 
@@ -65,10 +96,24 @@ class RebuildFailed(RuntimeError):
     """The staged build is not sound; the active one is untouched."""
 
 
+@dataclass
+class IngestReport:
+    """``actions(name, action)`` of every file, a table as long as the listing, and the counts of its actions and of vectors."""
+
+    actions: DataFrame
+    counts: dict[str, int]
+    embedded: int = 0
+    reused: int = 0
+
+    def names(self, action: str) -> DataFrame:
+        return self.actions.where(F.col("action") == action).select("name")
+
+
 class IndexStore:
-    """Builds under ``root`` and ``manifest.json``, on whatever file system Spark reads.
+    """An index under ``root``: folders of chunks and of files, in ``PARTS`` parts by source, and ``manifest.json``.
 
-    Content is written first and the manifest last, by a rename, so that a run that dies leaves
+    The manifest names the folder of each part, so it has the same size for any index, and an ingest writes the parts
+    of changed files only. Content is written first and the manifest last, by a rename, so that a run that dies leaves
     the old index active.
     """
 
@@ -83,7 +128,7 @@ class IndexStore:
     def manifest(self) -> dict:
         path = self._path("manifest.json")
         if not self._fs.exists(path):
-            return {"active": None, "builds": {}, "files": {}}
+            return empty_manifest()
         text = "\n".join(r.value for r in self.spark.read.text(path.toString(), wholetext=True).collect())
         return json.loads(text)
 
@@ -99,59 +144,111 @@ class IndexStore:
         options[0] = self.spark._jvm.org.apache.hadoop.fs.Options.Rename.OVERWRITE
         context.rename(beside, self._path("manifest.json"), options)
 
+    def create(self) -> None:
+        """An empty index; one that exists is an error."""
+        if self._fs.exists(self._path("manifest.json")):
+            raise FileExistsError(self.root)
+        self.save(empty_manifest())
+
+    def drop(self) -> None:
+        """The whole index goes; none is no error."""
+        self._fs.delete(self._path(), True)
+
+    def _read(self, folders: list[str], kind: str) -> DataFrame | None:
+        """The given folders' tables of ``chunks`` or ``files``, those that have rows."""
+        paths = [p for p in (self._path(f, kind) for f in sorted(folders)) if self._fs.exists(p)]
+        return self.spark.read.parquet(*[p.toString() for p in paths]) if paths else None
+
     def active(self) -> DataFrame:
-        name = self.manifest()["active"]
-        if name is None or not self._fs.exists(self._path(name)):
+        """The chunks of the active index."""
+        manifest = self.manifest()
+        rows = self._read([f"{name}/part={part}" for part, name in manifest["parts"].items()], "chunks") if manifest["active"] else None
+        if rows is None:
             raise IndexMissing("no active index; ingest first")
-        rows = self.spark.read.parquet(self._path(name).toString())
         if rows.isEmpty():
             raise IndexMissing("the active index is empty; ingest again")
         return rows
 
-    def publish(self, chunks: DataFrame, files: DataFrame, params: dict) -> str:
-        """Stage a build, check it, switch to it, and only then drop the others."""
-        build = build_id(params)
-        name = f"build-{build}-{datetime.now(UTC):%Y%m%dT%H%M%S%f}"
-        chunks.write.mode("errorifexists").parquet(self._path(name).toString())
-        report = integrity(self.spark.read.parquet(self._path(name).toString()), files).first()
-        if not report.ok:
+    def files(self) -> DataFrame:
+        """``name, sha256, chunk_ids`` of the active index."""
+        found = self._read([f"{name}/part={part}" for part, name in self.manifest()["parts"].items()], "files")
+        return self.spark.createDataFrame([], "name string, sha256 string, chunk_ids array<string>") if found is None else found.select("name", "sha256", "chunk_ids")
+
+    def publish(self, chunks: DataFrame, files: DataFrame, params: dict, parts: list[int] | None = None) -> str:
+        """Stage a build of ``parts`` (all: a new index), check it, switch to it, and only then drop what no part needs.
+
+        ``chunks`` has ``id`` and ``source``, the name of its file; ``files`` has ``name, sha256, chunk_ids``.
+        """
+        build, fresh = build_id(params), parts is None
+        name, parts = staging_name(build), list(range(PARTS)) if parts is None else parts
+        for kind, rows, key in (("chunks", chunks, "source"), ("files", files, "name")):
+            staged = f"{self.root}/{name}/{kind}"
+            rows.withColumn("part", _part(key)).repartition("part").write.mode("errorifexists").partitionBy("part").parquet(staged)
+            for part in parts:  # from kind/part=n to part=n/kind
+                if self._fs.exists(self._path(name, kind, f"part={part}")):
+                    self._fs.mkdirs(self._path(name, f"part={part}"))
+                    self._fs.rename(self._path(name, kind, f"part={part}"), self._path(name, f"part={part}", kind))
+            self._fs.delete(self._path(name, kind), True)
+        folders = [f"{name}/part={part}" for part in parts]
+        stored, listed = self._read(folders, "chunks"), self._read(folders, "files")
+        stored = chunks.limit(0) if stored is None else stored
+        report = integrity(stored, files.limit(0) if listed is None else listed).first()
+        # An index may not be empty; a part may, where its files have gone.
+        sound = report.ok or (not fresh and not report.n_stored and not report.missing_ids and not report.empty_files)
+        if not sound:
             self._fs.delete(self._path(name), True)
             raise RebuildFailed(f"staged index is not sound: {report.asDict()}")
         manifest = self.manifest()
         manifest["builds"][build] = params
-        manifest["files"] = {r.name: {"sha256": r.sha256, "chunk_ids": list(r.chunk_ids)} for r in files.toLocalIterator()}
+        manifest["parts"] = {**({} if fresh else manifest["parts"]), **{str(part): name for part in parts}}
         manifest["active"] = name
         self.save(manifest)
-        self.drop_others(name)
+        self.drop_others()
         return name
 
-    def drop_others(self, keep: str) -> list[str]:
+    def drop_others(self) -> list[str]:
+        """The folders of builds that no part of the active index is in are deleted."""
+        held = set(self.manifest()["parts"].values())
         names = sorted(s.getPath().getName() for s in self._fs.listStatus(self._path()) if s.getPath().getName().startswith("build-"))
-        gone = [n for n in names if n != keep]
+        gone = [n for n in names if n not in held]
         for name in gone:
             self._fs.delete(self._path(name), True)
         return gone
 
-    def ingest(self, listing: DataFrame, chunk: Callable[[DataFrame], DataFrame], params: dict, rebuild: bool = False) -> dict[str, list[str]]:
+    def ingest(self, listing: DataFrame, chunk: Callable[[DataFrame], DataFrame], params: dict, embed: Callable[[Column], Column] | None = None, rebuild: bool = False) -> IngestReport:
         """Bring the index to ``listing(name, sha256, ...)``; ``chunk`` turns rows of it into chunks with ``id`` and ``source``.
 
-        Files whose hash is recorded are left alone, unless the build id differs. The names by action are returned.
+        Files whose hash is recorded are left alone, unless the build id differs. With ``embed``, new chunks get a
+        ``vector``: that of an equal text of the index where it has one, else a new one for each distinct text.
         """
         manifest = self.manifest()
         fresh = rebuild or manifest["active"] is None or build_id(params) not in manifest["builds"]
-        recorded = {} if fresh else manifest["files"]
-        known = self.spark.createDataFrame([(k, v["sha256"]) for k, v in recorded.items()], "name string, sha256 string")
-        actions = diff_files(listing, known)
-        by: dict[str, list[str]] = {a: [] for a in ("skip", "add", "replace", "delete")}
-        for row in actions.orderBy("name").toLocalIterator():
-            by[row.action].append(row.name)
-        if not (by["add"] or by["replace"] or by["delete"]):
-            return by
-        changed = listing.join(actions.where("action IN ('add', 'replace')").select("name"), "name", "left_semi")
-        new = chunk(changed)
+        recorded = self.files()
+        actions = diff_files(listing, recorded.limit(0) if fresh else recorded)
+        counted = {r.action: r.n for r in actions.groupBy("action").agg(F.count("*").alias("n")).collect()}  # four at most
+        report = IngestReport(actions, {a: counted.get(a, 0) for a in ("skip", "add", "replace", "delete")})
+        if not any(report.counts[a] for a in ("add", "replace", "delete")):
+            return report
+        touched = actions.where("action <> 'skip'").select("name")
+        parts = None if fresh else sorted(r.part for r in touched.select(_part("name").alias("part")).distinct().collect())  # PARTS at most
+        read = new = chunk(listing.join(actions.where("action IN ('add', 'replace')").select("name"), "name", "left_semi")).persist()
+        if embed is not None:
+            new, report.embedded, report.reused = self._with_vectors(new, embed, manifest)
         if not fresh:
-            gone = actions.where("action <> 'skip'").select(F.col("name").alias("source"))
-            new = self.active().join(gone, "source", "left_anti").unionByName(new, allowMissingColumns=True)
-        files = listing.select("name", "sha256").join(new.groupBy(F.col("source").alias("name")).agg(F.collect_list("id").alias("chunk_ids")), "name", "left")
-        self.publish(new, files.select("name", "sha256", F.coalesce("chunk_ids", F.array().cast("array<string>")).alias("chunk_ids")), params)
-        return by
+            held = self.active().where(_part("source").isin(parts))
+            new = held.join(touched.withColumnRenamed("name", "source"), "source", "left_anti").unionByName(new, allowMissingColumns=True)
+        names = listing.select("name", "sha256") if fresh else listing.select("name", "sha256").where(_part("name").isin(parts))
+        files = names.join(new.groupBy(F.col("source").alias("name")).agg(F.collect_list("id").alias("chunk_ids")), "name", "left")
+        self.publish(new, files.select("name", "sha256", F.coalesce("chunk_ids", F.array().cast("array<string>")).alias("chunk_ids")), params, parts)
+        read.unpersist()
+        return report
+
+    def _with_vectors(self, new: DataFrame, embed: Callable[[Column], Column], manifest: dict) -> tuple[DataFrame, int, int]:
+        """The chunks with their vectors, and how many were embedded and reused."""
+        none = self.spark.createDataFrame([], "embed_sha256 string, vector array<float>")
+        known = self.active() if manifest["active"] else none
+        known = (known if "vector" in known.columns else none).select("embed_sha256", "vector")
+        fresh = to_embed(new, known)
+        vectors = known.unionByName(fresh.select("embed_sha256", embed(F.col("embed_text")).alias("vector")))
+        need = new.join(known.select("embed_sha256").distinct(), "embed_sha256", "left_anti").count()
+        return reuse_vectors(new, vectors), need, new.count() - need

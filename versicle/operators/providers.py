@@ -13,6 +13,7 @@ import re
 import time
 import urllib.error
 import urllib.request
+import weakref
 from collections.abc import Callable, Iterator
 
 import pandas as pd
@@ -22,6 +23,8 @@ from pyspark.sql import functions as F
 BATCH = 64
 TASKS = {"document": "passage: ", "query": "query: ", "similarity": "sentence: "}
 RERANK_TIMEOUT, RERANK_RETRIES, RERANK_DELAY = 10.0, 1, 1.0
+#: Seconds between questions of an evaluation, for services that allow ten calls a minute.
+EVAL_PAUSE = 6.0
 
 
 class RerankUnavailable(RuntimeError):
@@ -160,13 +163,39 @@ def rerank(question: Column, documents: Column, factory: Callable | None, keep:
     return F.struct(F.when(real, order).otherwise(first).alias("order"), real.alias("reranked"))
 
 
-def generate(prompts: DataFrame, prompt_col: str = "prompt", factory: Callable = ExtractiveGenerator, system: str | None = None) -> DataFrame:
-    """``prompts`` with the model's ``raw`` answers; a null prompt asks nothing and has none."""
+def generate(prompts: DataFrame, prompt_col: str = "prompt", factory: Callable = ExtractiveGenerator, schema_col: str | None = None, system_col: str | None = None, systems: dict[str, str] | None = None) -> DataFrame:
+    """``prompts`` with the model's ``raw`` answers; a null prompt asks nothing and has none.
+
+    ``schema_col`` has the JSON schema of each answer, as text; ``system_col`` names one of ``systems``, the instructions.
+    """
 
     @F.pandas_udf("string")
-    def answers(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    def said(batches: Iterator[tuple[pd.Series, pd.Series, pd.Series]]) -> Iterator[pd.Series]:
         model = factory()
-        for batch in batches:
-            yield pd.Series([None if p is None else model.generate(p, system=system) for p in batch], dtype=object)
+        for prompts, schemas, names in batches:
+            rows = zip(prompts, schemas, names, strict=True)
+            yield pd.Series([None if p is None else model.generate(p, system=(systems or {}).get(n), schema=json.loads(s) if s else None) for p, s, n in rows], dtype=object)
+
+    optional = lambda c: F.col(c) if c else F.lit(None).cast("string")
+    return prompts.withColumn("raw", said.asNondeterministic()(F.col(prompt_col), optional(schema_col), optional(system_col)))
+
+
+def pace(reranker: Callable | None, seconds: float = EVAL_PAUSE, sleep: Callable = time.sleep) -> None:
+    """Between the batches of an evaluation: waits only where a reranker is called, whose service counts its calls."""
+    if reranker is not None and seconds > 0:
+        sleep(seconds)
+
+
+class Examples:
+    """Route examples embedded once for each embedder that is alive: an embedder's own, and never a dead one's."""
+
+    def __init__(self, lookup: list[str], compare: list[str]):
+        self._texts = [("lookup", t) for t in lookup] + [("compare", t) for t in compare]
+        self._known: weakref.WeakKeyDictionary = weakref.WeakKeyDictionary()
 
-    return prompts.withColumn("raw", answers.asNondeterministic()(F.col(prompt_col)))
+    def vectors(self, embedder) -> list[tuple[str, list[float]]]:
+        """``kind, vector`` of each example."""
+        if embedder not in self._known:
+            vectors = embedder.embed([t for _, t in self._texts], "similarity")
+            self._known[embedder] = [(kind, v) for (kind, _), v in zip(self._texts, vectors, strict=True)]
+        return self._known[embedder]

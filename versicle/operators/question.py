@@ -12,9 +12,11 @@ from versicle.operators.dense import cosine
 
 MAX_CHARS, CONSONANT_RUN = 500, 6
 ROUTE_MARGIN, ROUTE_FLOOR = 0.02, 0.50
+EXAMPLES = 1000
 # Words that are no question on their own.
 FILLERS = ["hi", "hello", "hey", "ok", "okay", "test", "thanks", "yo", "help"]
-_VERSION = r"(?i)\b(?:version|ver\.?|v)\s*([0-9]+)"
+# The ways a version is written, and the marks around a question.
+_VERSION = r"(?i)\b(?:version|ver\.?|v)\s*([0-9]+)(?:\.([0-9]+))?\b"
 _MARKS = "[-!\"#$%&'()*+,./:;<=>?@\\[\\\\\\]^_`{|}~ ]"
 
 
@@ -22,8 +24,11 @@ def clean_question(raw: Column) -> Column:
     """Straight quotes, single spaces, and ``v2``, ``ver. 2`` or ``Version 2.0`` as ``2.0``."""
     text = F.translate(F.coalesce(raw, F.lit("")), "“”‘’", "\"\"''")
     text = F.trim(F.regexp_replace(text, r"\s+", " "))
-    text = F.regexp_replace(text, _VERSION + r"\.([0-9]+)\b", "$1.$2")
-    return F.regexp_replace(text, _VERSION + r"\b", "$1.0")
+    # In one pass, so that what it makes is never matched again: what stands between the matches, and each match anew.
+    major, minor = (F.regexp_extract_all(text, F.lit(_VERSION), F.lit(group)) for group in (1, 2))
+    made = F.zip_with(major, minor, lambda a, b: F.concat_ws(".", a, F.when(F.length(b) > 0, b).otherwise("0")))
+    parts = F.zip_with(F.split(text, _VERSION, -1), made, lambda before, version: F.concat(before, F.coalesce(version, F.lit(""))))
+    return F.array_join(parts, "")
 
 
 def is_keymash(question: Column) -> Column:
@@ -45,10 +50,11 @@ def junk_reason(question: Column) -> Column:
     )
 
 
-def find_policy(question: Column, aliases: dict[str, list[str]]) -> Column:
-    """The one policy of which an alias stands in the question as whole words; null if none, or more than one."""
+def find_policy(question: Column, aliases: dict[str, list[str]], policies: Column) -> Column:
+    """The one policy of the catalog of which an alias stands in the question as whole words; null if none, or more than one."""
     low = F.lower(question)
-    named = [F.when(low.rlike("|".join(rf"\b{re.escape(a)}\b" for a in sorted(some, key=len, reverse=True))), F.lit(policy)) for policy, some in aliases.items()]
+    stands = lambda some: low.rlike("|".join(rf"\b{re.escape(a)}\b" for a in sorted(some, key=len, reverse=True)))
+    named = [F.when(F.array_contains(policies, F.lit(policy)) & stands(some), F.lit(policy)) for policy, some in aliases.items()]
     found = F.array_compact(F.array(*named))
     return F.when(F.size(found) == 1, F.get(found, F.lit(0)))
 
@@ -74,8 +80,7 @@ def remove_named(question: Column, policy: Column, versions: Column, aliases: di
 def extract_filters(questions: DataFrame, known: DataFrame, aliases: dict[str, list[str]]) -> DataFrame:
     """``qid, policy, versions, search_text`` of ``questions(qid, question)``; ``known`` is a catalog, a row for each policy."""
     every = known.agg(F.array_distinct(F.flatten(F.collect_list("versions"))).alias("every"), F.map_from_entries(F.collect_list(F.struct("policy", "versions"))).alias("by_policy"))
-    rows = questions.crossJoin(every).withColumn("policy", find_policy(F.col("question"), aliases))  # every: one row
-    rows = rows.withColumn("policy", F.when(F.map_contains_key("by_policy", F.coalesce("policy", F.lit(""))), F.col("policy")))
+    rows = questions.crossJoin(every).withColumn("policy", find_policy(F.col("question"), aliases, F.map_keys("by_policy")))  # every: one row
     own = F.when(F.col("policy").isNotNull(), F.element_at("by_policy", F.col("policy"))).otherwise(F.col("every"))
     rows = rows.withColumn("versions", find_versions(F.col("question"), own))
     return rows.select("qid", "policy", "versions", remove_named(F.col("question"), F.col("policy"), F.col("versions"), aliases).alias("search_text"))
@@ -87,7 +92,9 @@ def choose_route(lookup: Column, compare: Column, margin: float = ROUTE_MARGIN,
 
 
 def route_scores(questions: DataFrame, examples: DataFrame) -> DataFrame:
-    """``qid, best_lookup, best_compare, route`` by the nearest of ``examples(kind, vector)``, a short fixed list."""
+    """``qid, best_lookup, best_compare, route`` by the nearest of ``examples(kind, vector)``, a short list: more than ``EXAMPLES`` are an error."""
+    if examples.limit(EXAMPLES + 1).count() > EXAMPLES:
+        raise ValueError(f"more than {EXAMPLES} route examples")
     met = questions.crossJoin(F.broadcast(examples.select("kind", F.col("vector").alias("example"))))
     similarity = cosine(F.col("vector"), F.col("example"))
     best = met.groupBy("qid").agg(*[F.round(F.max(F.when(F.col("kind") == kind, similarity)), 6).alias(f"best_{kind}") for kind in ("lookup", "compare")])

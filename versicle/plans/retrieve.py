@@ -7,7 +7,10 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from versicle.functions.text import source_tag
+from versicle.functions.versions import compare_versions
 from versicle.operators import answer, chunking, compare, dense, fusion, lexical, providers, question
+from versicle.operators.runs import load_prompt
 from versicle.sources import files as source_files
 
 
@@ -31,47 +34,101 @@ def validate(chunks: DataFrame) -> DataFrame:
     return chunks.withColumn("error", F.coalesce(*[blank(c) if c in chunks.columns else F.lit(f"missing field: {c}") for c in fields]))
 
 
-def _in_order(hits: DataFrame, value: str) -> DataFrame:
-    return hits.groupBy("qid").agg(answer.in_order(F.col(value), F.col("rank")).alias("several"))
+def _target_sets(targets: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """``qid, target`` and ``target, policy, version``: what each question searches, and each set of these once.
+
+    Sets come from the catalog (a version of a policy, the latest of all, all that have a version), so there are few, however many questions.
+    """
+    sets = targets.select("qid", "policy", "version").distinct().groupBy("qid").agg(F.array_sort(F.collect_list(F.struct("policy", "version"))).alias("pairs"))
+    sets = sets.withColumn("target", F.to_json("pairs"))
+    return sets.select("qid", "target"), sets.select("target", "pairs").distinct().select("target", F.explode("pairs").alias("p")).select("target", "p.policy", "p.version")
 
 
 def lookup(questions: DataFrame, chunks: DataFrame, vectors: DataFrame, targets: DataFrame, reranker: Callable | None = providers.OverlapReranker, keep: int = 3) -> DataFrame:
-    """``qid, id, rank, reranked`` of the kept hits.
+    """``qid, id, rank, reranked, in_fused array<string>`` of the kept hits.
 
     ``questions`` has ``qid, question, search_text, vector``; ``vectors`` has ``id, vector``; ``targets`` has ``qid, policy, version``. Both
-    arms search a question's targets alone, with BM25 statistics of exactly these.
+    arms search a question's targets alone, with BM25 statistics of exactly these; a set of targets is one corpus for all its questions.
     """
-    pairs = targets.join(chunks.select("policy", "version", "id", "embed_text"), ["policy", "version"])
-    by_question = pairs.select("id", "embed_text", F.col("qid").alias("target"))
-    asked = questions.select("qid", F.col("qid").alias("target"), "search_text")
-    words = lexical.lexical_topk(asked, by_question, text_col="embed_text", target_col="target", stemmed=True)
-    held = by_question.select("id", "target").join(vectors, "id")
-    near = dense.dense_topk(questions.select("qid", F.col("qid").alias("target"), "vector"), held, target_col="target")
+    of_question, sets = _target_sets(targets)
+    corpus = sets.join(chunks.select("policy", "version", "id", "embed_text"), ["policy", "version"]).select("target", "id", "embed_text")
+    asked = questions.join(of_question, "qid")
+    words = lexical.lexical_topk(asked.select("qid", "target", "search_text"), corpus, text_col="embed_text", target_col="target")
+    near = dense.dense_topk(asked.select("qid", "target", "vector"), corpus.select("id", "target").join(vectors, "id"), target_col="target")
     fused = fusion.rrf_fuse(near, words).join(chunks.select("id", "embed_text"), "id")
     ids = fused.groupBy("qid").agg(answer.in_order(F.struct("id", "embed_text"), F.col("rank")).alias("items"))
     texts = F.transform("items", lambda x: x["embed_text"])
     ordered = ids.join(questions.select("qid", "question"), "qid").withColumn("r", providers.rerank(F.col("question"), texts, reranker, keep))
     kept = ordered.select("qid", "r.reranked", "items", F.posexplode("r.order").alias("at", "place"))
-    return kept.select("qid", F.get("items", F.col("place"))["id"].alias("id"), (F.col("at") + 1).alias("rank"), "reranked")
+    return kept.select("qid", F.get("items", F.col("place"))["id"].alias("id"), (F.col("at") + 1).alias("rank"), "reranked", F.transform("items", lambda x: x["id"]).alias("in_fused"))
 
 
-def answer_lookups(questions: DataFrame, hits: DataFrame, chunks: DataFrame, targets: DataFrame, generator: Callable = providers.ExtractiveGenerator) -> DataFrame:
-    """``qid, status, printed``: a prompt of tagged passages, the model's answer, and its cited text. Without hits no model is asked."""
-    from versicle.functions.text import source_tag
+def compare_pairs(questions: DataFrame, chunks: DataFrame, vectors: DataFrame, reranker: Callable | None = providers.OverlapReranker, keep: int = 3) -> DataFrame:
+    """``qid, policy, old, new, rank, reranked, in_fused, title, heading_path, previous, current``: the kept section pairs.
 
-    shown = hits.join(chunks, "id")
-    passages = _in_order(shown.withColumn("tag", source_tag(F.col("id"), F.col("policy"), F.col("version"), F.col("heading_path"), F.col("text"))), "tag")
-    route = targets.groupBy("qid").agg(answer.describe_lookup(F.array_sort(F.collect_list(F.struct("policy", "version")))).alias("route"))
-    prompts = questions.join(passages, "qid", "left").join(route, "qid", "left")
-    prompt = F.when(F.size("several") > 0, answer.user_message(F.col("question"), F.coalesce("route", F.lit("lookup")), F.col("several")))
-    raw = providers.generate(prompts.select("qid", prompt.alias("prompt")), factory=generator)
-    parsed = raw.withColumn("a", answer.parse_answer(F.col("raw"))).select("qid", F.lit("lookup").alias("kind"), "a.status", "a.claims", F.array().cast("array<string>").alias("notes"))
-    sources = shown.select("qid", F.col("id").alias("chunk_id"), "policy", "version", "heading_path")
-    return answer.render(parsed, sources).join(parsed.select("qid", "status"), "qid")
+    ``questions`` has ``qid, question, search_text, vector, policy, versions, known``. Each version is searched on its own,
+    with its own statistics; sections are paired by title, once for each pair of versions that is asked about, and
+    ranked by their better side.
+    """
+    two = compare_versions(F.col("versions"), F.col("known"))
+    asked = questions.withColumns({"old": F.get(two, F.lit(0)), "new": F.get(two, F.lit(1))}).withColumn("pairing", F.to_json(F.struct("policy", "old", "new")))
+    sides = asked.select("qid", "search_text", "vector", "policy", "pairing", F.explode(F.array("old", "new")).alias("version"))
+    key = F.to_json(F.struct("policy", "version"))
+    sides = sides.withColumns({"target": key, "side": F.struct("qid", "version")})
+    asked_of = sides.select("policy", "version").distinct()
+    corpus = chunks.join(asked_of, ["policy", "version"], "left_semi").withColumn("target", key)
+    words = lexical.lexical_topk(sides.select(F.col("side").alias("qid"), "target", "search_text"), corpus, text_col="embed_text", target_col="target")
+    near = dense.dense_topk(sides.select(F.col("side").alias("qid"), "target", "vector"), corpus.select("id", "target").join(vectors, "id"), target_col="target")
+    fused = fusion.rrf_fuse(near, words).select("qid.qid", "id", "score", F.col("rank").alias("best_rank"))
+    hits = fused.join(asked.select("qid", F.col("pairing").alias("policy")), "qid")
+    pairings = asked.select("pairing", "policy", "old", "new").distinct()
+    of = lambda side: pairings.join(chunks.withColumnRenamed("version", side), ["policy", side]).withColumn("version", F.col(side)).drop("policy").withColumnRenamed("pairing", "policy")
+    pairs = compare.pair_by_title(of("old"), of("new"))
+    best = compare.rank_pairs(pairs, hits)
+    full = best.join(pairs.select("policy", "title", "ordinal", "heading_path", "previous", "current"), ["policy", "title", "ordinal"]).drop("policy")
+    items = full.groupBy("qid").agg(answer.in_order(F.struct("title", "heading_path", "previous", "current"), F.col("rank")).alias("items"))
+    texts = F.transform("items", lambda x: answer.pair_text(x["heading_path"], x["previous"], x["current"]))
+    ordered = items.join(asked.select("qid", "question", "policy", "old", "new"), "qid").withColumn("r", providers.rerank(F.col("question"), texts, reranker, keep))
+    ids = F.array_compact(F.flatten(F.transform("items", lambda x: F.array(x["previous"]["id"], x["current"]["id"]))))
+    kept = ordered.select("qid", "policy", "old", "new", "r.reranked", ids.alias("in_fused"), "items", F.posexplode("r.order").alias("at", "place")).withColumn("p", F.get("items", F.col("place")))
+    return kept.select("qid", "policy", "old", "new", (F.col("at") + 1).alias("rank"), "reranked", "in_fused", "p.title", "p.heading_path", "p.previous", "p.current")
+
+
+def compare_hits(pairs: DataFrame) -> DataFrame:
+    """``qid, kind, policy, id, rank, reranked``: both sides of the pairs, where they exist."""
+    sides = pairs.select("qid", F.lit("compare").alias("kind"), "policy", F.explode(F.array("previous.id", "current.id")).alias("id"), "rank", "reranked")
+    return sides.where("id IS NOT NULL")
 
 
-def ask(raw: DataFrame, chunks: DataFrame, vectors: DataFrame, aliases: dict[str, list[str]], examples: DataFrame, embedder: Callable = providers.HashingEmbedder, reranker: Callable | None = providers.OverlapReranker, keep: int = 3) -> DataFrame:
-    """``qid, reason, kind, policy, id, rank, reranked`` for ``raw(qid, text)``.
+def answers(questions: DataFrame, hits: DataFrame, pairs: DataFrame, chunks: DataFrame, targets: DataFrame, generator: Callable = providers.ExtractiveGenerator) -> DataFrame:
+    """``qid, kind, status, claims, notes, printed`` of ``questions(qid, question, kind)``, lookups and comparisons alike.
+
+    A question's prompt is its route and the tagged passages; a model may name only the ids it was shown, and
+    without passages none is asked. A comparison's one-sided sections are noted where they are cited.
+    """
+    shown = hits.join(chunks.select("id", "policy", "version", "heading_path", "text"), "id")
+    one = shown.withColumn("tag", source_tag(F.col("id"), F.col("policy"), F.col("version"), F.col("heading_path"), F.col("text")))
+    looked = one.groupBy("qid").agg(answer.in_order(F.col("tag"), F.col("rank")).alias("tags"), answer.in_order(F.array("id"), F.col("rank")).alias("ids"))
+    route = targets.groupBy("qid").agg(answer.describe_lookup(F.array_sort(F.collect_list(F.struct("policy", "version")))).alias("route"))
+    looked = looked.join(route, "qid", "left").withColumn("route", F.coalesce("route", F.lit("lookup")))
+    tag = answer.pair_tag(F.col("title"), F.col("policy"), F.col("previous"), F.col("current"), F.col("old"), F.col("new"))
+    both = pairs.select("qid", "rank", tag.alias("tag"), F.array_compact(F.array("previous.id", "current.id")).alias("ids"), answer.describe_compare(F.col("policy"), F.col("old"), F.col("new")).alias("route"))
+    compared = both.groupBy("qid").agg(answer.in_order(F.col("tag"), F.col("rank")).alias("tags"), answer.in_order(F.col("ids"), F.col("rank")).alias("ids"), F.max("route").alias("route"))
+    prompts = questions.select("qid", "question", "kind").join(looked.unionByName(compared), "qid", "left")
+    prompt = F.when(F.size("tags") > 0, answer.user_message(F.col("question"), F.col("route"), F.col("tags")))
+    prompts = prompts.select("qid", "kind", prompt.alias("prompt"), answer.schema_json(F.flatten("ids")).alias("schema"), F.col("kind").alias("system"))
+    systems = {kind: load_prompt(kind) for kind in ("lookup", "compare")}
+    raw = providers.generate(prompts, factory=generator, schema_col="schema", system_col="system", systems=systems)
+    parsed = raw.withColumn("a", answer.parse_answer(F.col("raw"))).select("qid", "kind", "a.status", "a.claims")
+    cited = parsed.select("qid", F.transform("claims", lambda c: c["chunk_id"]).alias("cited"))
+    note = answer.missing_side_note(F.col("previous"), F.col("current"), F.col("heading_path"), F.col("new"), F.col("cited"))
+    notes = pairs.join(cited, "qid").withColumn("note", note).where("note IS NOT NULL").groupBy("qid").agg(answer.in_order(F.col("note"), F.col("rank")).alias("notes"))
+    told = parsed.join(notes, "qid", "left").withColumn("notes", F.coalesce("notes", F.array().cast("array<string>")))
+    return told.join(answer.render(told, answer.sources(shown, pairs)), "qid")
+
+
+def ask(raw: DataFrame, chunks: DataFrame, vectors: DataFrame, aliases: dict[str, list[str]], examples: DataFrame, embedder: Callable = providers.HashingEmbedder, reranker: Callable | None = providers.OverlapReranker, keep: int = 3, generator: Callable | None = None) -> DataFrame:
+    """``qid, reason, kind, policy, id, rank, reranked`` for ``raw(qid, text)``; with a ``generator``, ``qid, reason, kind, status, printed``.
 
     Junk has a ``reason`` and nothing else. A comparison of a policy with fewer than two versions, or of
     none that can be inferred from the nearest chunk, falls back to a lookup.
@@ -86,46 +143,13 @@ def ask(raw: DataFrame, chunks: DataFrame, vectors: DataFrame, aliases: dict[str
     held = chunks.select("id", "policy").join(several.select("policy"), "policy", "left_semi").join(vectors, "id")
     nearest = dense.dense_topk(asked.select("qid", "vector"), held.select("id", "vector"), top_k=1).join(chunks.select("id", F.col("policy").alias("inferred")), "id").select("qid", "inferred")
     asked = asked.join(routed, "qid").join(nearest, "qid", "left").join(several.select(F.col("policy").alias("p2"), F.col("versions").alias("known")), F.coalesce("policy", "inferred") == F.col("p2"), "left")
-    kind = F.when((F.col("route") == "compare") & F.col("p2").isNotNull(), "compare").otherwise("lookup")
-    asked = asked.withColumn("kind", kind)
+    asked = asked.withColumn("kind", F.when((F.col("route") == "compare") & F.col("p2").isNotNull(), "compare").otherwise("lookup"))
     looking = asked.where("kind = 'lookup'")
     targets = compare.lookup_targets(looking.select("qid", "policy", "versions"), known)
-    found = lookup(looking, chunks, vectors, targets, reranker, keep).join(looking.select("qid", "policy"), "qid").withColumn("kind", F.lit("lookup"))
-    pairs = compare_hits(asked.where("kind = 'compare'").withColumn("policy", F.col("p2")), chunks, vectors, reranker, keep)
-    hits = found.select("qid", "kind", "policy", "id", "rank", "reranked").unionByName(pairs)
-    return cleaned.select("qid", "reason").join(hits, "qid", "left")
-
-
-def compare_hits(questions: DataFrame, chunks: DataFrame, vectors: DataFrame, reranker: Callable | None = providers.OverlapReranker, keep: int = 3) -> DataFrame:
-    """``qid, kind, policy, id, rank, reranked``: the sides of the kept section pairs.
-
-    ``questions`` has ``qid, question, search_text, vector, policy, versions, known``. Each version is searched on its own,
-    with its own statistics; sections are paired by title, and pairs ranked by their better side.
-    """
-    from versicle.functions.versions import compare_versions
-
-    two = questions.withColumn("two", compare_versions(F.col("versions"), F.col("known")))
-    sides = two.select("qid", "search_text", "vector", "policy", F.posexplode("two").alias("side", "version"))
-    target = F.concat_ws("|", F.col("qid").cast("string"), F.col("side").cast("string"))
-    sides = sides.withColumn("target", target)
-    held = sides.select("target", "policy", "version").join(chunks, ["policy", "version"])
-    words = lexical.bm25(sides.select(F.col("target").alias("qid"), "target", "search_text"), held, text_col="embed_text", target_col="target", stemmed=True)
-    words = lexical.ranked(words, ["qid"], [F.desc("score"), F.asc("id")])
-    near = dense.dense_topk(sides.select(F.col("target").alias("qid"), "target", "vector"), held.select("id", "target").join(vectors, "id"), target_col="target")
-    fused = fusion.rrf_fuse(near, words).withColumn("side", F.element_at(F.split("qid", r"\|"), -1)).withColumn("qid", F.regexp_replace("qid", r"\|[01]$", "").cast(questions.schema["qid"].dataType))
-    sizes = fused.groupBy("qid").agg((F.count("*") + 1).cast("int").alias("absent"))
-    of = lambda side: sides.where(F.col("side") == side).select("qid", "policy", "version").join(chunks, ["policy", "version"])
-    # Questions are paired within themselves: the policy column carries the question through the join.
-    keyed = lambda df: df.withColumn("policy", F.concat_ws("|", F.col("qid").cast("string"), "policy"))
-    pairs = compare.pair_by_title(keyed(of(0)), keyed(of(1)))
-    pairs = pairs.withColumn("qid", F.get(F.split("policy", r"\|"), F.lit(0)).cast(questions.schema["qid"].dataType)).withColumn("policy", F.regexp_replace("policy", r"^[^|]*\|", ""))
-    ranked = compare.rank_pairs(pairs, fused.where("side = '0'"), fused.where("side = '1'"), sizes)
-    full = ranked.join(pairs.select("qid", "title", "ordinal", "heading_path", "previous", "current"), ["qid", "title", "ordinal"])
-    items = full.groupBy("qid", "policy").agg(answer.in_order(F.struct("heading_path", "previous", "current"), F.col("rank")).alias("items"))
-    texts = F.transform("items", lambda x: answer.pair_text(x["heading_path"], x["previous"], x["current"]))
-    ordered = items.join(questions.select("qid", "question"), "qid").withColumn("r", providers.rerank(F.col("question"), texts, reranker, keep))
-    kept = ordered.select("qid", "policy", "r.reranked", "items", F.posexplode("r.order").alias("at", "place")).withColumn("pair", F.get("items", F.col("place")))
-    out = kept.select("qid", "policy", "reranked", (F.col("at") + 1).alias("rank"), F.explode(F.array("pair.previous.id", "pair.current.id")).alias("id")).where("id IS NOT NULL")
-    return out.select("qid", F.lit("compare").alias("kind"), "policy", "id", "rank", "reranked")
-
-
+    found = lookup(looking, chunks, vectors, targets, reranker, keep)
+    pairs = compare_pairs(asked.where("kind = 'compare'").withColumn("policy", F.col("p2")), chunks, vectors, reranker, keep)
+    if generator is not None:
+        said = answers(asked, found, pairs, chunks, targets, generator)
+        return cleaned.select("qid", "reason").join(said.select("qid", "kind", "status", "printed"), "qid", "left")
+    named = found.join(looking.select("qid", "policy"), "qid").select("qid", F.lit("lookup").alias("kind"), "policy", "id", "rank", "reranked")
+    return cleaned.select("qid", "reason").join(named.unionByName(compare_hits(pairs)), "qid", "left")
