@@ -647,3 +647,123 @@ def question_search_text(spark, sf_dir):
     """Questions without what names their filters; RE2 has no look-behind, tests compare fixed questions."""
     cleaned = _questions(spark, sf_dir).select("qid", question.clean_question(F.col("text")).alias("question"))
     return question.extract_filters(cleaned, compare.catalog(chunks(spark, sf_dir)), _ALIASES).select("qid", "search_text")
+
+
+# ---- whole searches ----------------------------------------------------------------------------
+
+_WANTED = "wanted AS (SELECT item_id AS qid, CASE item_id % 4 WHEN 0 THEN 'de' WHEN 2 THEN 'fr' END AS p, CASE item_id % 4 WHEN 0 THEN '9.0' WHEN 1 THEN '10.0' END AS v FROM benchmark)"
+_TARGETS = "tg AS (SELECT qid, policy, coalesce(v, newest) AS version FROM wanted JOIN known ON (p IS NULL OR p = policy) AND (p IS NOT NULL OR v IS NULL OR list_contains(versions, v))), sets AS (SELECT qid, string_agg(policy || ' ' || version, ',' ORDER BY policy, version) AS target FROM tg GROUP BY qid)"
+_IN_SETS = "SELECT DISTINCT target, id, embed_text AS text FROM sets JOIN tg USING (qid) JOIN chunks USING (policy, version)"
+_NEAR = "dense_list AS (SELECT qid, id, row_number() OVER (PARTITION BY qid ORDER BY similarity DESC, id) AS rank FROM (SELECT s.qid, c.id, round(list_dot_product(q.u, u.u), 6) AS similarity FROM {0} s JOIN docs d USING (target) JOIN chunks c ON c.id = d.id JOIN units u ON u.vec_id = c.doc_id JOIN units q ON q.vec_id = s.item_id) QUALIFY rank <= 20)"
+
+
+def _embedded(spark, sf_dir):
+    """Questions with the vector of their id, chunks, and their vectors."""
+    rows = chunks(spark, sf_dir).where("policy IS NOT NULL")
+    vectors = table(spark, sf_dir, "embeddings").select("vec_id", F.col("embedding").alias("vector"))
+    items = table(spark, sf_dir, "benchmark").join(vectors, F.col("item_id") == F.col("vec_id"), "left").select(F.col("item_id").alias("qid"), F.col("text").alias("question"), F.col("text").alias("search_text"), "vector")
+    return items, rows, rows.join(vectors, F.col("doc_id") == F.col("vec_id")).select("id", "vector")
+
+
+@_query(f"""WITH {_CHUNKS}, {_KNOWN}, {_UNIT}, {_WANTED}, {_TARGETS}, {_bm25(_IN_SETS, "id", "", "SELECT item_id AS qid, text, target FROM benchmark JOIN sets ON qid = item_id")}, lexical_list AS ({_TOP}),
+{_NEAR.format("(SELECT qid, qid AS item_id, target FROM sets)")}, {_FUSE} SELECT qid, id, rank FROM fused_top WHERE rank <= 3""")
+def lookup_hits(spark, sf_dir):
+    """Both arms within the targets that a question names, fused; without a reranker the first three stand."""
+    items, rows, vectors = _embedded(spark, sf_dir)
+    kind = F.col("qid") % 4
+    named = F.when(kind == 0, F.array(F.lit("9.0"))).when(kind == 1, F.array(F.lit("10.0"))).otherwise(F.array().cast("array<string>"))
+    filters = items.select("qid", F.when(kind == 0, "de").when(kind == 2, "fr").alias("policy"), named.alias("versions"))
+    targets = compare.lookup_targets(filters, compare.catalog(rows))
+    return retrieve.lookup(items, rows, vectors, targets, None).select("qid", "id", "rank")
+
+
+_ASKED_OF = "asked_of AS (SELECT item_id, (['de', 'en', 'es', 'fr'])[item_id % 4 + 1] AS policy, item_id || '|' || version AS qid, policy || ' ' || version AS target FROM benchmark JOIN two ON two.policy = (['de', 'en', 'es', 'fr'])[item_id % 4 + 1])"
+
+
+@_query(f"""WITH {_CHUNKS}, {_TWO}, {_PAIRS}, {_UNIT}, {_ASKED_OF}, {_bm25("SELECT policy || ' ' || version AS target, id, embed_text AS text FROM chunks WHERE policy IS NOT NULL", "id", "", "SELECT qid, text, target FROM benchmark JOIN asked_of USING (item_id)")},
+lexical_list AS ({_TOP}), {_NEAR.format("asked_of")}, {_FUSE}, hits AS (SELECT item_id AS qid, policy, id, score, rank FROM fused_top JOIN asked_of USING (qid)), sizes AS (SELECT qid, policy, count(*) + 1 AS absent FROM hits GROUP BY ALL)
+SELECT qid, previous_id, current_id, rank FROM (SELECT s.qid, previous_id, current_id, row_number() OVER (PARTITION BY s.qid ORDER BY coalesce(greatest(coalesce(a.score, b.score), coalesce(b.score, a.score)), 0.0::DOUBLE) DESC,
+  coalesce(least(coalesce(a.rank, b.rank), coalesce(b.rank, a.rank)), absent), title, ordinal) AS rank
+  FROM sizes s JOIN pairs p ON p.policy = s.policy LEFT JOIN hits a ON a.qid = s.qid AND a.id = previous_id LEFT JOIN hits b ON b.qid = s.qid AND b.id = current_id) WHERE rank <= 3""")
+def compare_hits(spark, sf_dir):
+    """Each version searched on its own, sections paired, and the first three pairs of a question's policy."""
+    items, rows, vectors = _embedded(spark, sf_dir)
+    policy = F.element_at(F.array(*map(F.lit, ["de", "en", "es", "fr"])), (F.col("qid") % 4 + 1).cast("int"))
+    asked = items.withColumns({"policy": policy, "versions": F.array().cast("array<string>")}).join(compare.catalog(rows).withColumnRenamed("versions", "known"), "policy")
+    found = retrieve.compare_pairs(asked.where(F.size("known") >= 2), rows, vectors, None)
+    return found.select("qid", F.col("previous.id").alias("previous_id"), F.col("current.id").alias("current_id"), "rank")
+
+
+@_query()
+def ask(spark, sf_dir):
+    """Every turn as a question, with its route and the ids it is answered from; the hashing embedder is not SQL, tests check the parts."""
+    rows = chunks(spark, sf_dir).where("policy IS NOT NULL")
+    vectors = rows.select("id", providers.embed(F.col("embed_text")).alias("vector"))
+    texts = spark.createDataFrame([("lookup", "how many days are allowed"), ("compare", "what changed between the versions")], "kind string, text string")
+    examples = texts.select("kind", providers.embed(F.col("text"), task="similarity").alias("vector"))
+    turns = table(spark, sf_dir, "conversations").select((F.col("conv_id") * 1000 + F.col("turn")).alias("qid"), "text")
+    return retrieve.ask(turns, rows, vectors, _ALIASES, examples)
+
+
+@_query("SELECT doc_id FROM documents WHERE source = 'src1'")
+def ids_of_source(spark, sf_dir):
+    return index.ids_for_source(table(spark, sf_dir, "documents").withColumn("id", F.col("doc_id")), "src1").select(F.col("id").alias("doc_id"))
+
+
+_ROUTED = f"""{_UNIT}, {_EXAMPLE}, scores AS (SELECT q.vec_id AS qid, q.label, round(max(CASE WHEN e.label % 2 = 0 THEN list_dot_product(q.u, e.v) / sqrt(list_dot_product(e.v, e.v)) END), 6) AS l,
+  round(max(CASE WHEN e.label % 2 = 1 THEN list_dot_product(q.u, e.v) / sqrt(list_dot_product(e.v, e.v)) END), 6) AS c FROM units q CROSS JOIN examples e GROUP BY q.vec_id, q.label)"""
+
+
+@_query(f"""WITH {_ROUTED} SELECT count(*) FILTER ((CASE WHEN greatest(l, c) >= 0.5 AND c >= l + 0.02 THEN 1 ELSE 0 END) <> label % 2 OR greatest(l, c) < 0.5) AS problems, min(greatest(l, c)) AS lowest, arg_min(qid, (greatest(l, c), qid)) AS lowest_qid FROM scores""")
+def route_report(spark, sf_dir):
+    """A vector's label says which route is expected."""
+    expected = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("qid"), F.when(F.col("label") % 2 == 1, "compare").otherwise("lookup").alias("expected"))
+    return evalkit.route_report(route_nearest_example(spark, sf_dir), expected)
+
+
+@_query(f"""WITH {_ITEMS}, tops AS ({_TOP}), gold AS (SELECT item_id AS qid, list(doc_id) AS ids FROM benchmark b JOIN documents d ON contains(d.text, b.text) GROUP BY ALL),
+found AS (SELECT qid, list(id) AS fused, list(id) FILTER (rank <= 3) AS top FROM tops GROUP BY qid),
+cases AS (SELECT item_id AS case_id, item_id % 7 <> 0 AS route_ok, coalesce(len(ids), 0) AS n_gold, coalesce(list_has_all(fused, ids), ids IS NULL) AS in_fused, coalesce(list_has_all(top, ids), ids IS NULL) AS in_top, item_id % 2 = 0 AND top IS NOT NULL AS reranked
+  FROM benchmark LEFT JOIN gold g ON g.qid = item_id LEFT JOIN found f ON f.qid = item_id)
+SELECT case_id, n_gold, in_fused, in_top, route_ok AND (n_gold = 0 OR (in_fused AND (NOT reranked OR in_top))) AS passes FROM cases""")
+def retrieval_gate(spark, sf_dir):
+    """The first twenty stand for the fused, the first three for the kept; every second item was reranked, every seventh took the wrong route."""
+    items = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("qid"), F.col("text").alias("item"))
+    gold = evalkit.containing(items, table(spark, sf_dir, "documents"), "doc_id").groupBy("qid").agg(F.collect_list(F.col("id").cast("string")).alias("gold_chunks"))
+    cases = items.join(gold, "qid", "left").select(F.col("qid").alias("case_id"), F.lit("lookup").alias("route"), "gold_chunks")
+    kinds = items.select("qid", F.when(F.col("qid") % 7 == 0, "compare").otherwise("lookup").alias("kind"))
+    tops = lexical_topk(spark, sf_dir).withColumn("id", F.col("id").cast("string"))
+    fused = tops.groupBy("qid").agg(F.collect_list("id").alias("in_fused"))
+    found = tops.where("rank <= 3").join(fused, "qid").select("qid", "id", (F.col("qid") % 2 == 0).alias("reranked"), "in_fused")
+    return evalkit.score_retrieval(cases, kinds, found).select("case_id", "n_gold", "in_fused", "in_top", "passes")
+
+
+_AMOUNTS = f"list_sort(list_filter(list_distinct({_NUMBERS}), lambda x: x NOT IN ('2.0', '9.0')))"
+
+
+@_query(f"""WITH t AS (SELECT a.conv_id, a.turn, a.text AS claim, b.text AS cited, c.text AS other FROM conversations a JOIN conversations b ON a.conv_id = b.conv_id AND b.turn = a.turn - 1 LEFT JOIN conversations c ON a.conv_id = c.conv_id AND c.turn = a.turn + 1)
+SELECT conv_id, turn, CASE WHEN other IS NULL OR NOT regexp_matches(claim, '{X.ASSERTED_CHANGE}') OR regexp_matches(claim, '{X.NO_CHANGE}') THEN NULL
+  WHEN regexp_extract_all(lower(cited), '[a-z0-9]+') = regexp_extract_all(lower(other), '[a-z0-9]+') THEN 'both versions have the same text'
+  WHEN regexp_matches(claim, '{X.AMOUNT_CHANGE}') AND len({_AMOUNTS.format('cited')}) > 0 AND {_AMOUNTS.format('cited')} = {_AMOUNTS.format('other')} THEN 'both versions give the same numbers' END AS reason FROM t""")
+def contradicted_changes(spark, sf_dir):
+    """A turn as a claim, the turn before as its passage, the one after as the passage's counterpart."""
+    turns = table(spark, sf_dir, "conversations")
+    side = lambda name, by: turns.select("conv_id", (F.col("turn") + by).alias("turn"), F.col("text").alias(name))
+    rows = turns.join(side("cited", 1), ["conv_id", "turn"]).join(side("other", -1), ["conv_id", "turn"], "left")
+    versions = F.array(F.lit("2.0"), F.lit("9.0"))
+    return rows.select("conv_id", "turn", X.contradicted_change(F.col("text"), F.col("cited"), F.col("other"), versions).alias("reason"))
+
+
+@_query(f"""WITH passages AS (SELECT conv_id, role, arg_min(text, turn) AS passage FROM conversations GROUP BY ALL),
+claims AS (SELECT c.conv_id, c.turn, c.text, passage, CASE WHEN c.turn % 2 = 0 THEN 'lookup' ELSE 'compare' END AS route FROM conversations c LEFT JOIN passages p ON p.conv_id = c.conv_id AND p.role = CASE WHEN c.turn % 5 = 4 THEN 'none' ELSE c.role END)
+SELECT conv_id AS case_id, turn AS pos, CASE WHEN passage IS NULL THEN 1 ELSE len(list_filter(list_distinct({_NUMBERS.format('text')}), lambda x: x <> '2.0' AND NOT list_contains({_NUMBERS.format('passage')}, x)))
+  + CASE WHEN contains(lower(text), 'the') AND NOT contains(lower(passage), 'the') THEN 1 ELSE 0 END
+  + CASE WHEN route = 'lookup' AND regexp_matches(regexp_replace(text, '(?i)\\bversion\\s+2\\.0\\b', '', 'g'), '{X.CHANGE}') AND NOT regexp_matches(passage, '{X.CHANGE}') THEN 1 ELSE 0 END END AS n_inventions, 0 AS n_misses FROM claims""")
+def claim_problems(spark, sf_dir):
+    """Turns as claims that cite the first turn of their role, or one that was not shown; no passage has a counterpart."""
+    turns = table(spark, sf_dir, "conversations")
+    cited = F.when(F.col("turn") % 5 == 4, "none").otherwise(F.col("role"))
+    claims = turns.select(F.col("conv_id").alias("case_id"), F.col("turn").alias("pos"), F.when(F.col("turn") % 2 == 0, "lookup").otherwise("compare").alias("route"), "text", cited.alias("chunk_id"), F.array(F.lit("the")).alias("stale_facts"))
+    passages = turns.groupBy(F.col("conv_id").alias("case_id"), F.col("role").alias("chunk_id")).agg(F.min_by("text", "turn").alias("passage")).withColumns({"version": F.lit("2.0"), "other": F.lit(None).cast("string")})
+    found = evalkit.claim_problems(claims, passages)
+    return found.select("case_id", "pos", F.size("inventions").alias("n_inventions"), F.size("misses").alias("n_misses"))
