@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-import tempfile
+import ctypes
 from collections.abc import Callable
 
 import numpy as np
@@ -11,9 +11,13 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from versicle.sources.shared import checkpoint_dir, cut
+
+__all__ = ["BATCH_BYTES", "BATCH_ROWS", "ListTable", "PieceCache", "bound_batches", "checkpoint_dir", "cut", "drop_folder", "gather", "held_out", "one_row_each", "split_words", "thrifty"]
+
 #: Bounds of an Arrow batch sent to a Python worker. One row may exceed the bytes; a batch of many may not.
 BATCH_ROWS = 1024
-BATCH_BYTES = 4 << 20
+BATCH_BYTES = 2 << 20
 
 
 def bound_batches(spark: SparkSession) -> None:
@@ -27,24 +31,17 @@ def bound_batches(spark: SparkSession) -> None:
             spark.conf.set(key, str(most))
 
 
-def checkpoint_dir(spark: SparkSession) -> str:
-    """The shared folder that the cluster names in ``spark.checkpoint.dir``: Spark's own subfolder of it, once set.
-
-    Where none is named, a local master, which is one machine, gets a temporary folder; on a cluster that is an error.
-    """
-    context = spark.sparkContext
-    if context._jsc.sc().getCheckpointDir().isEmpty():
-        named = context.getConf().get("spark.checkpoint.dir", None)
-        if named is None and not context.master.startswith("local"):
-            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-        context.setCheckpointDir(named or tempfile.mkdtemp(prefix="versicle-checkpoint-"))
-    return context._jsc.sc().getCheckpointDir().get()
+def thrifty(made: Callable) -> Callable:
+    """A function for ``mapInArrow`` whose worker, which later tasks use again, returns the memory of a task at its end."""
 
+    def run(batches):
+        pa.set_memory_pool(pa.system_memory_pool())
+        yield from made(batches)
+        trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+        if trim is not None:  # glibc keeps freed memory otherwise
+            trim(0)
 
-def cut(df: DataFrame) -> DataFrame:
-    """The same rows from shared, replicated storage: lineage ends here and lost executors cost nothing upstream."""
-    checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    return run
 
 
 def drop_folder(spark: SparkSession, folder: str) -> None:
@@ -60,7 +57,7 @@ class PieceCache(dict):
     the old one, and what is met again moves back. Strings over ``longest`` are never kept.
     """
 
-    def __init__(self, encode: Callable[[str], object], limit: int = 300_000, longest: int = 64):
+    def __init__(self, encode: Callable[[str], object], limit: int = 150_000, longest: int = 64):
         super().__init__()
         self._encode, self._half, self._longest, self._old = encode, max(1, limit // 2), longest, {}
 
@@ -113,7 +110,7 @@ class ListTable:
     When it holds more than ``limit`` strings, the half used least recently goes.
     """
 
-    def __init__(self, encode: Callable[[pa.StringArray], tuple[np.ndarray, np.ndarray]], dtype: str, limit: int = 400_000, longest: int = 64):
+    def __init__(self, encode: Callable[[pa.StringArray], tuple[np.ndarray, np.ndarray]], dtype: str, limit: int = 150_000, longest: int = 64):
         """``encode`` gives the numbers of distinct strings and where each string's end."""
         self._encode, self._limit, self._longest = encode, limit, longest
         self._keys, self._flat, self._ends = pa.array([], pa.string()), np.empty(0, dtype), np.empty(0, np.int64)

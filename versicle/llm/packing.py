@@ -29,7 +29,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from versicle.llm.common import ListTable, bound_batches, cut, split_words
+from versicle.llm.common import ListTable, bound_batches, cut, split_words, thrifty
 
 CAPACITY = 4096
 END_ID = 1
@@ -59,7 +59,7 @@ class Words:
     distinct one of a batch once. Letters are looked up in lower case without the marks around them;
     what the table lacks is encoded in one call."""
 
-    def __init__(self, path: str, limit: int = 300_000):
+    def __init__(self, path: str, limit: int = 150_000):
         self._tokenizer = _tokenizer(path)
         self._whole, self._parts = ListTable(self._split, "<u4", limit), ListTable(self._encoded, "<u4", limit)
 
@@ -129,7 +129,7 @@ def pieces(
             )
 
     schema = f"id {rows.schema['id'].dataType.simpleString()}, piece int, start long, length long, ids binary"
-    return rows.mapInArrow(made, schema).withColumnRenamed("id", id_col)
+    return rows.mapInArrow(thrifty(made), schema).withColumnRenamed("id", id_col)
 
 
 # ---- the packing of one shard ---------------------------------------------------------------

@@ -33,7 +33,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from versicle.llm.common import ListTable, PieceCache, bound_batches, cut, held_out, one_row_each
+from versicle.llm.common import ListTable, PieceCache, bound_batches, cut, held_out, one_row_each, thrifty
 from versicle.llm.ftrl import Ftrl, sigmoid, sparse
 
 BITS = 18
@@ -233,7 +233,7 @@ def _fitted(bits: int, most_bytes: int):
 def _learnt(train: DataFrame, bits: int, most_bytes: int) -> dict | None:
     """The model of the bounded table of features; its weights, at most ``2 ** bits`` a view, come to the driver."""
     one = train.repartition(1).sortWithinPartitions("rank", "giver", "label")
-    found = {r.view: r for r in one.mapInArrow(_fitted(bits, most_bytes), "view string, numbers string, at binary, weights binary").collect()}
+    found = {r.view: r for r in one.mapInArrow(thrifty(_fitted(bits, most_bytes)), "view string, numbers string, at binary, weights binary").collect()}
     if not found:
         return None
     model: dict = {}
@@ -276,7 +276,7 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
 
     def features(chosen: DataFrame) -> DataFrame:
         told = chosen.withColumns({"__rank": F.xxhash64("__id"), "__calibrates": F.crc32(F.col("__id").cast("string")) % 5 == 1})
-        return told.select("__rank", "__label", "__giver", "__calibrates", "__text", *meta).mapInArrow(_featured(bits, meta), _FEATURES)
+        return told.select("__rank", "__label", "__giver", "__calibrates", "__text", *meta).mapInArrow(thrifty(_featured(bits, meta)), _FEATURES)
 
     # Both joins are with bounded tables of ids: train_rows at most, and 4 * handed.
     train = cut(features(one_row_each(rows.join(F.broadcast(learn), "__id"), ["__id"]).withColumn("__giver", F.lit(""))))
@@ -323,7 +323,7 @@ def _scored(docs: DataFrame, model: dict | None, kept: list[str], text_col: str,
             scores = [sigmoid(odds["content"]), sigmoid(odds["meta"]), sigmoid(odds["content"] + odds["meta"] - prior)]
             yield pa.RecordBatch.from_arrays([*[batch[n] for n in names], *map(pa.array, scores)], [*names, "content_score", "meta_score", "score"])
 
-    return rows.mapInArrow(made, f"{fields}, content_score double, meta_score double, score double")
+    return rows.mapInArrow(thrifty(made), f"{fields}, content_score double, meta_score double, score double")
 
 
 def score(docs: DataFrame, model: dict | None, id_col: str = "doc_id", text_col: str = "text", meta_cols=META_COLUMNS, bits: int = BITS, keep: list[str] | None = None) -> DataFrame:
