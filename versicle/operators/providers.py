@@ -7,6 +7,7 @@ Arrow batches. Model columns are marked non-deterministic so that the optimizer
 from __future__ import annotations
 
 import hashlib
+import html
 import json
 import math
 import re
@@ -99,7 +100,7 @@ class ExtractiveGenerator:
     """Answers with the first sentence of the first passages, as JSON of the answer schema."""
 
     def generate(self, prompt: str, system: str | None = None, schema: dict | None = None) -> str:
-        claims = [{"text": body.strip().split(". ")[0], "chunk_id": name} for name, body in re.findall(r'<source id="([^"]*)"[^>]*>\n(.*?)\n</source>', prompt, re.S)[:3]]
+        claims = [{"text": html.unescape(body).strip().split(". ")[0], "chunk_id": html.unescape(name)} for name, body in re.findall(r'<source id="([^"]*)"[^>]*>\n(.*?)\n</source>', prompt, re.S)[:3]]
         return json.dumps({"status": "answered" if claims else "not_in_sources", "claims": claims})
 
 
