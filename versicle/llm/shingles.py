@@ -1,46 +1,53 @@
 """Near-duplicates by Jaccard similarity of word-shingle sets, every pair at or above the threshold.
 
-Two sets with similarity of at least 4/5 share a shingle among the first ``n // 5 + 1`` of each
-under any one order of all shingles, so documents meet at the shingles of these prefixes. The
-order puts shingles that a bounded sample holds often last; the sample steers cost only. Pairs
-that meet are dropped by two bounds that no similar pair can break (the sets' sizes, and parity
-bits, which differ at most as often as the sets do), and the rest is verified on the sets.
-
-Each shingle first links its documents to the smallest of them. Only pairs that these links leave
-in different components are then formed, so a crowd of copies costs its size, not its square.
+SimHash comes first: documents whose fingerprints over these shingles are within ``DISTANCE`` bits meet by the
+generalised pigeonhole of ``simhash``. At a similarity of 4/5, though, two fingerprints differ in about ten of 64
+bits, and no partitioning of 64 bits finds such pairs at a bearable cost; so the rest is found on the sets themselves:
+two sets with similarity of at least 4/5 share a shingle among the first ``n // 5 + 1`` of each under any one order
+of all shingles, so documents meet at the shingles of these prefixes. The order puts shingles that a bounded sample
+holds often last; the sample steers cost only. Pairs that meet are dropped by two bounds that no similar pair can
+break (the sets' sizes, and parity bits, three or more a shingle, which differ at most as often as the sets do), and
+the rest is verified on the sets.
+
+Each shingle first links its documents to the most central of them, the one that shares most of its prefix, and then
+to the most central outside that one's component. Only pairs that these links leave in different components are then
+compared, dealt to parts of bounded size, so a crowd of copies costs about its size, not its square.
 
 Shingles are compared by 64-bit hashes. Equal texts are one node. Texts without words are alike;
-fewer words than a shingle make one shingle; null ids never name a component unless all are null.
+fewer words than a shingle make one shingle; null ids never name a component unless all are null; rows with one id
+and different texts are different documents; an empty table gives no rows; other columns are ignored.
 """
 
 from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from versicle.llm.common import PieceCache, bound_batches, cut
+from versicle.llm import simhash
+from versicle.llm.common import PieceCache, bound_batches, cut, thrifty
 from versicle.llm.components import components
 
 WORDS = 5
 #: The least similarity, 4/5, is kept in whole numbers: size, prefix and verification bounds are exact.
 SHARE, OF = 4, 5
 SEED = 42
+#: Differing bits up to which fingerprints link documents at first.
+DISTANCE = 2
 #: Documents that steer the order, and the shingles of theirs that are put last.
 SAMPLE = 4000
 FREQUENT = 200_000
-PARITY_WORDS = 16
 #: Rows of keys, without texts, that are broadcast at most so that texts need not move to meet them (about 60 bytes a row).
 SMALL = 200_000
-#: Members compared with one document in one group of rows.
+#: Members compared with one document in one group of rows, and of a shingle's documents in one part.
 BLOCK = 512
 
 
 def _word_hashes():
     import xxhash
 
-    return PieceCache(lambda word: xxhash.xxh64_intdigest(word, SEED))
+    return PieceCache(lambda word: xxhash.xxh64_intdigest(word, SEED), limit=100_000)
 
 
 def shingles(text: str | None, cache: dict, words: int = WORDS) -> np.ndarray:
@@ -66,6 +73,13 @@ def alike(a: np.ndarray, b: np.ndarray) -> bool:
     return OF * both >= SHARE * (len(a) + len(b) - both)
 
 
+def parity(held: np.ndarray) -> np.ndarray:
+    """Parity bits of a set of hashes, at least three for each and a power of two, as 64-bit words."""
+    bits = max(64, 1 << (3 * len(held) - 1).bit_length())
+    odd = np.bincount((held & np.uint64(bits - 1)).astype(np.int64), minlength=bits) & 1
+    return np.packbits(odd.astype(np.uint8)).view(np.int64)
+
+
 def frequent(df: DataFrame, n: int, words: int = WORDS, sample: int = SAMPLE) -> tuple[np.ndarray, np.ndarray]:
     """Shingles that several of about ``sample`` documents hold, sorted, and how many do; ``df`` has ``text``."""
     some = df.select("text").where(F.pmod(F.xxhash64("text"), F.lit(max(1, n // sample))) == 0)
@@ -76,7 +90,7 @@ def frequent(df: DataFrame, n: int, words: int = WORDS, sample: int = SAMPLE) ->
             for text in batch["text"].to_pylist():
                 yield pa.RecordBatch.from_arrays([pa.array(shingles(text, cache, words).view(np.int64))], ["x"])
 
-    held = some.mapInArrow(made, "x long").groupBy("x").agg(F.count("*").alias("n")).where("n > 1")
+    held = some.mapInArrow(thrifty(made), "x long").groupBy("x").agg(F.count("*").alias("n")).where("n > 1")
     rows = held.orderBy(F.desc("n"), "x").limit(FREQUENT).collect()
     values = np.array([r.x for r in rows], np.int64).view(np.uint64)
     order = np.argsort(values)
@@ -84,13 +98,13 @@ def frequent(df: DataFrame, n: int, words: int = WORDS, sample: int = SAMPLE) ->
 
 
 def _prints(df: DataFrame, often: tuple[np.ndarray, np.ndarray], words: int) -> DataFrame:
-    """``id, k, n, parity, prefix`` for ``df(id, k, text)``."""
+    """``id, k, fp, n, parity, prefix`` for ``df(id, k, text)``."""
     known, counts = often
 
     def made(batches):
         cache = _word_hashes()
         for batch in batches:
-            sizes, parities, prefixes = [], [], []
+            fps, sizes, parities, prefixes = [], [], [], []
             for text in batch["text"].to_pylist():
                 held = shingles(text, cache, words)
                 rank = np.zeros(len(held), np.int64)
@@ -98,21 +112,31 @@ def _prints(df: DataFrame, often: tuple[np.ndarray, np.ndarray], words: int) ->
                     at = np.minimum(np.searchsorted(known, held), len(known) - 1)
                     rank = np.where(known[at] == held, counts[at], 0)
                 first = np.lexsort((held, rank))[: len(held) - -(-len(held) * SHARE // OF) + 1]
-                bits = np.bincount((held & np.uint64(64 * PARITY_WORDS - 1)).astype(np.int64), minlength=64 * PARITY_WORDS) & 1
+                fps.append(simhash.fingerprint_of(text, words))
                 sizes.append(len(held))
-                parities.append(np.packbits(bits.astype(np.uint8)).view(np.int64))
+                parities.append(parity(held))
                 prefixes.append(held[first].view(np.int64))
             lists = [pa.array(v, pa.list_(pa.int64())) for v in (parities, prefixes)]
-            yield pa.RecordBatch.from_arrays([batch["id"], batch["k"], pa.array(sizes, pa.int64()), *lists], ["id", "k", "n", "parity", "prefix"])
+            yield pa.RecordBatch.from_arrays([batch["id"], batch["k"], pa.array(np.array(fps, np.uint64).view(np.int64)), pa.array(sizes, pa.int64()), *lists], ["id", "k", "fp", "n", "parity", "prefix"])
+
+    return df.mapInArrow(thrifty(made), f"id {df.schema['id'].dataType.simpleString()}, k binary, fp long, n long, parity array<long>, prefix array<long>")
+
 
-    return df.mapInArrow(made, f"id {df.schema['id'].dataType.simpleString()}, k binary, n long, parity array<long>, prefix array<long>")
+def _folded(bits: Column, words: Column) -> Column:
+    """Parity bits of the same set at half the length, where they are longer than ``words``."""
+    halves = F.zip_with(F.slice(bits, 1, words), F.slice(bits, words + 1, words), lambda x, y: x.bitwiseXOR(y))
+    return F.when(F.size(bits) > words, halves).otherwise(bits)
 
 
-def _possible(a: str, b: str):
-    """False only for pairs that can't be alike, by the sizes and by the parity bits."""
-    n, m = F.col(f"{a}.n"), F.col(f"{b}.n")
-    differ = sum(F.bit_count(F.col(f"{a}.parity")[k].bitwiseXOR(F.col(f"{b}.parity")[k])) for k in range(PARITY_WORDS))
-    return (OF * F.least(n, m) >= SHARE * F.greatest(n, m)) & ((OF + SHARE) * differ <= (OF - SHARE) * (n + m))
+def possible(pairs: DataFrame, slim: DataFrame) -> DataFrame:
+    """The ``pairs(u, v)`` that sizes and parity bits don't rule out; ``slim`` has ``node, n, parity``."""
+    a, b = (slim.select(F.col("node").alias(side), F.col("n").alias(f"n_{side}"), F.col("parity").alias(f"p_{side}")) for side in ("u", "v"))
+    n, m = F.col("n_u"), F.col("n_v")
+    words = F.least(F.size("p_u"), F.size("p_v"))  # sizes in proportion: one is at most twice the other
+    apart = F.zip_with(_folded(F.col("p_u"), words), _folded(F.col("p_v"), words), lambda x, y: F.bit_count(x.bitwiseXOR(y)))
+    differ = F.aggregate(apart, F.lit(0), lambda s, x: s + x)
+    fits = F.when(OF * F.least(n, m) < SHARE * F.greatest(n, m), False).otherwise((OF + SHARE) * differ <= (OF - SHARE) * (n + m))
+    return pairs.join(a, "u").join(b, "v").where(fits).select("u", "v")
 
 
 def _small(df: DataFrame) -> DataFrame:
@@ -123,10 +147,12 @@ def _small(df: DataFrame) -> DataFrame:
 def verified(pairs: DataFrame, texts: DataFrame, words: int = WORDS) -> DataFrame:
     """The ``pairs(u, v)`` whose texts are alike; ``texts`` has ``node, text``."""
     blocks = pairs.groupBy("u").agg(F.ceil(F.count("*") / BLOCK).alias("blocks"))
-    placed = cut(pairs.join(blocks, "u").select("u", "v", F.pmod(F.xxhash64("v"), F.col("blocks")).alias("block")))
-    hubs = texts.join(_small(cut(placed.select("u", "block").distinct())), F.col("u") == F.col("node")).select("u", "block", F.lit(None).cast("long").alias("v"), "text")
-    members = texts.join(_small(placed), F.col("v") == F.col("node")).select("u", "block", "v", "text")
-    rows = hubs.unionByName(members).repartition("u", "block").sortWithinPartitions("u", "block", F.asc_nulls_first("v"))
+    placed = pairs.join(blocks, "u").select("u", F.pmod(F.xxhash64("v"), F.col("blocks")).alias("block"), "v")
+    # A document's text goes once to each block where it is the hub (v is null there) or a member.
+    hubs = placed.select("u", "block", F.lit(None).cast("long").alias("v"), F.col("u").alias("who")).distinct()
+    roles = _small(cut(placed.withColumn("who", F.col("v")).unionByName(hubs)))
+    rows = texts.join(roles, F.col("node") == F.col("who")).select("u", "block", "v", "text")
+    rows = rows.repartition("u", "block").sortWithinPartitions("u", "block", F.asc_nulls_first("v"))
 
     def made(batches):
         cache, hub = _word_hashes(), None
@@ -141,38 +167,90 @@ def verified(pairs: DataFrame, texts: DataFrame, words: int = WORDS) -> DataFram
                     vs.append(v)
             yield pa.RecordBatch.from_arrays([pa.array(us, pa.int64()), pa.array(vs, pa.int64())], ["u", "v"])
 
-    return rows.select("u", "v", "text").mapInArrow(made, "u long, v long")
+    return rows.select("u", "v", "text").mapInArrow(thrifty(made), "u long, v long")
 
 
-def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = WORDS) -> DataFrame:
-    """``id_col, component_id``: the smallest id reachable over pairs that are alike, for every row."""
+def _by_component(posts: DataFrame, links: DataFrame) -> DataFrame:
+    """``x, node, n, central, c`` of the documents of shingles whose documents are in several components."""
+    found = components(links).withColumnsRenamed({"node": "far"})
+    rows = posts.join(found, F.col("node") == F.col("far"), "left").withColumn("c", F.coalesce("component", "node"))
+    over = Window.partitionBy("x")
+    rows = rows.withColumns({"lo": F.min("c").over(over), "hi": F.max("c").over(over)}).where("lo <> hi")
+    return rows.select("x", "node", "n", "central", "c")
+
+
+def _star(rows: DataFrame, second: bool) -> DataFrame:
+    """Pairs of each shingle's most central document (with ``second``: the most central outside its component) with those of other components."""
+    order = lambda: F.struct(F.col("central"), (-F.col("node")).alias("minus"), F.col("c"))
+    hubs = rows.groupBy("x").agg(F.max(order()).alias("hub"))
+    if second:
+        rest = rows.join(hubs.select("x", F.col("hub.c").alias("first")), "x").where(F.col("c") != F.col("first"))
+        hubs = rest.groupBy("x").agg(F.max(order()).alias("hub"))
+    met = rows.join(hubs, "x").where(F.col("c") != F.col("hub.c"))
+    hub, node = -F.col("hub.minus"), F.col("node")
+    return met.select(F.least(hub, node).alias("u"), F.greatest(hub, node).alias("v")).distinct()
+
+
+def _rest(rows: DataFrame) -> DataFrame:
+    """Pairs of documents of one shingle in different components, of sizes that allow it; a shingle's documents are dealt to parts."""
+    sizes = rows.groupBy("x").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("parts"))
+    dealt = rows.join(sizes, "x")
+    a = dealt.select("x", F.pmod(F.xxhash64("node"), F.col("parts")).cast("int").alias("part"), F.col("node").alias("u"), F.col("n").alias("n_u"), F.col("c").alias("c_u"))
+    b = dealt.select("x", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), F.col("node").alias("v"), F.col("n").alias("n_v"), F.col("c").alias("c_v"))
+    fits = (F.col("c_u") != F.col("c_v")) & (F.col("u") < F.col("v")) & (OF * F.least("n_u", "n_v") >= SHARE * F.greatest("n_u", "n_v"))
+    return a.join(b, ["x", "part"]).where(fits).select("u", "v").distinct()
+
+
+def grouped(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = WORDS) -> tuple[DataFrame, DataFrame]:
+    """Every row's ``id`` and the digest ``k`` of its text, and ``k, least, copies, component, component_id`` of every digest."""
     bound_batches(df.sparkSession)
     text = F.coalesce(F.col(text_col), F.lit(""))
     docs = df.select(F.col(id_col).alias("id"), F.unhex(F.md5(text)).alias("k"), text.alias("text"))
     prints = _prints(docs, frequent(docs, docs.count(), words), words)
-    first = [F.first(c).alias(c) for c in ("n", "parity", "prefix")]  # equal for equal texts
+    first = [F.first(c).alias(c) for c in ("fp", "n", "parity", "prefix")]  # equal for equal texts
     nodes = cut(prints.groupBy("k").agg(F.min("id").alias("least"), F.count("*").alias("copies"), *first).withColumn("node", F.monotonically_increasing_id()))
-    by_shingle = Window.partitionBy("x")
-    posts = nodes.select("node", F.explode("prefix").alias("x")).withColumn("hub", F.min("node").over(by_shingle)).withColumn("top", F.max("node").over(by_shingle))
-    posts = cut(posts.where("hub <> top").select("node", "x", "hub"))
-    slim = nodes.join(posts.select("node").distinct(), "node", "left_semi").select("node", "k", "least", "copies", "n", "parity")
-    slim = cut(slim)
-    keys = _small(slim.select("node", F.col("k").alias("nk"), "least", "copies"))
+    slim = nodes.select("node", "n", "parity")
+    # Nearly every shingle is one document's own, so a grouped count would shuffle them all for nothing.
+    shared = nodes.select("node", F.explode("prefix").alias("x")).withColumn("held", F.count("*").over(Window.partitionBy("x")))
+    posts = cut(shared.where("held > 1").select("node", "x"))
+    central = posts.groupBy("node").agg(F.count("*").alias("met")).join(nodes.select("node", "n"), "node")
+    posts = cut(posts.join(central, "node").select("x", "node", "n", (F.col("met") / (F.col("n") - F.ceil(F.col("n") * SHARE / OF) + 1)).alias("central")))
+    # Texts move only to those they are compared with: the keys of nodes that meet others.
+    by_print = nodes.groupBy("fp").agg(F.min("node").alias("u"), F.count("*").alias("same"))
+    by_print = cut(by_print)
+    same = nodes.join(by_print.where("same > 1"), "fp").where("node <> u").select("u", F.col("node").alias("v"))
+    near_prints = simhash.links(by_print.select("fp"), DISTANCE)
+    reps = by_print.select("fp", "u")
+    close = near_prints.join(reps.select(F.col("fp").alias("u"), F.col("u").alias("a")), "u").join(reps.select(F.col("fp").alias("v"), F.col("u").alias("b")), "v")
+    close = close.select(F.least("a", "b").alias("u"), F.greatest("a", "b").alias("v")).unionByName(same)
+    met = posts.select("node").union(close.select("u")).union(close.select("v")).distinct()
+    keys = _small(cut(nodes.join(met, "node", "left_semi").select("node", F.col("k").alias("nk"), "least", "copies")))
     own = docs.join(keys, (F.col("k") == F.col("nk")) & F.col("id").eqNullSafe(F.col("least")))
     texts = own.where("copies = 1").select("node", "text").unionByName(own.where("copies > 1").select("node", "text").dropDuplicates(["node"]))
-    a, b = slim.alias("a"), slim.alias("b")
-    stars = posts.where("node <> hub").select(F.col("hub").alias("u"), F.col("node").alias("v")).distinct()
-    stars = stars.join(a, F.col("u") == F.col("a.node")).join(b, F.col("v") == F.col("b.node")).where(_possible("a", "b")).select("u", "v")
-    near = cut(verified(stars, texts, words))
-    # Pairs that the first links leave apart.
-    joined = posts.select("node", "x").join(components(near).withColumnRenamed("node", "far"), F.col("node") == F.col("far"), "left").select("node", "x", F.coalesce("component", "node").alias("c"))
-    apart = joined.withColumn("lo", F.min("c").over(by_shingle)).withColumn("hi", F.max("c").over(by_shingle)).where("lo <> hi").select("node", "x", "c")
-    apart = cut(apart.join(slim.select("node", "n", "parity"), "node"))
-    met = apart.alias("a").join(apart.alias("b"), (F.col("a.x") == F.col("b.x")) & (F.col("a.c") < F.col("b.c")) & _possible("a", "b"))
-    more = verified(met.select(F.col("a.node").alias("u"), F.col("b.node").alias("v")).distinct(), texts, words)
-    found = components(near.unionByName(more))
-    named = found.join(nodes.select("node", "least"), "node")
+    check = lambda pairs: cut(verified(cut(possible(pairs, slim)), texts, words))
+    near = check(close)
+    for second in (False, True):
+        near = cut(near.unionByName(check(_star(_by_component(posts, near), second))))
+    near = near.unionByName(check(_rest(cut(_by_component(posts, near)))))
+    found = components(near)
+    named = nodes.select("node", "k", "least", "copies").join(found, "node", "left").withColumn("component", F.coalesce("component", "node"))
     smallest = named.groupBy("component").agg(F.min("least").alias("component_id"))
-    far = found.join(smallest, "component").select("node", "component_id")
-    labels = nodes.select("node", "k", "least").join(far, "node", "left").select("k", F.coalesce("component_id", "least").alias("component_id"))
-    return docs.select("id", "k").join(labels, "k").select(F.col("id").alias(id_col), "component_id")
+    return docs.select("id", "k"), named.join(smallest, "component").select("k", "least", "copies", "component", "component_id")
+
+
+def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = WORDS) -> DataFrame:
+    """``id_col, component_id``: the smallest id reachable over pairs that are alike, for every row."""
+    docs, labels = grouped(df, id_col, text_col, words)
+    return docs.join(labels.select("k", "component_id"), "k").select(F.col("id").alias(id_col), "component_id")
+
+
+def representatives(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = WORDS) -> DataFrame:
+    """One row of each group, all columns: the one with the smallest id (nulls last), then the smallest digest of its text; of equal rows, any one."""
+    _, labels = grouped(df, id_col, text_col, words)
+    least = labels.groupBy("component").agg(F.min(F.struct(F.col("least").isNull().alias("none"), "least", "k", "copies")).alias("one"))
+    kept = cut(least.select("one.least", "one.k", "one.copies"))
+    numbered = df.toDF(*[f"c{i}" for i in range(len(df.columns))])  # no name of the table can clash
+    own, text = (F.col(f"c{df.columns.index(c)}") for c in (id_col, text_col))
+    rows = numbered.join(kept, (F.unhex(F.md5(F.coalesce(text, F.lit("")))) == F.col("k")) & own.eqNullSafe(F.col("least")))
+    once = rows.where("copies = 1").unionByName(rows.where("copies > 1").dropDuplicates(["k"]))
+    return once.select(*numbered.columns).toDF(*df.columns)

@@ -15,7 +15,9 @@ few dozen, are linked to one of them. Both ways are exact.
 
 Defined cases: null and empty texts have fingerprint zero and are linked like any other;
 fewer words than a shingle make one shingle; a text without words has fingerprint zero;
-rows with equal ids each get a row; null ids never name a component unless all are null.
+rows with equal ids each get a row, and of these one stays for each group they stand for;
+null ids never name a component unless all are null; distances are even, an odd one is an
+error; an empty table gives no rows; other columns are ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -28,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from versicle.llm.common import bound_batches, cut
+from versicle.llm.common import bound_batches, cut, thrifty
 from versicle.llm.components import components
 
 BITS = 64
@@ -38,6 +40,8 @@ DISTANCE = 2
 #: Distinct fingerprints that steer the partitioning, and the most that are compared pair by pair under one key.
 SAMPLE = 4000
 PAIRWISE = 32
+#: Fingerprints with more than this part of all rows are joined by broadcast.
+CROWDS = 1000
 
 
 def fingerprint_of(text: str | None, words: int = SHINGLE_WORDS, seed: int = SEED) -> int:
@@ -73,7 +77,7 @@ def fingerprints(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
             found = np.array([fingerprint_of(t, words, seed) for t in batch["text"].to_pylist()], np.uint64)
             yield pa.RecordBatch.from_arrays([batch["id"], pa.array(found.view(np.int64))], ["id", "fp"])
 
-    return rows.mapInArrow(made, f"id {rows.schema['id'].dataType.simpleString()}, fp long").withColumnRenamed("id", id_col)
+    return rows.mapInArrow(thrifty(made), f"id {rows.schema['id'].dataType.simpleString()}, fp long").withColumnRenamed("id", id_col)
 
 
 # ---- the plan: partitions and thresholds -----------------------------------------------------
@@ -179,6 +183,8 @@ def links(distinct: DataFrame, distance: int = DISTANCE, pairwise: int = PAIRWIS
     Each edge joins two fingerprints within ``distance`` (an even number); each pair within it
     is an edge or joined through such edges. ``distinct`` has distinct values ``fp``.
     """
+    if distance % 2:
+        raise ValueError(f"the distance must be even, not {distance}: crowded keys meet halfway")
     parts = plan(distinct, distinct.count(), distance)
     sent = None
     for number, (bits, threshold) in enumerate(parts):
@@ -205,26 +211,16 @@ def links(distinct: DataFrame, distance: int = DISTANCE, pairwise: int = PAIRWIS
 def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", distance: int = DISTANCE, words: int = SHINGLE_WORDS, seed: int = SEED) -> DataFrame:
     """``id_col, fp, component_id``: the smallest id reachable over links, for every row."""
     prints = cut(fingerprints(df, id_col, text_col, words, seed))
-    nodes = cut(prints.groupBy("fp").agg(F.min(id_col).alias("least")))
+    nodes = cut(prints.groupBy("fp").agg(F.min(id_col).alias("least"), F.count("*").alias("copies")))
     found = components(links(nodes.select("fp"), distance))
     named = found.join(nodes, found.node == nodes.fp).groupBy("component").agg(F.min("least").alias("component_id"))
     far = found.join(named, "component").select(F.col("node").alias("fp"), "component_id")
-    labels = nodes.join(far, "fp", "left").select("fp", F.coalesce("component_id", "least").alias("component_id"))
-    return prints.join(labels, "fp").select(id_col, "fp", "component_id")
-
-
-def representatives(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", distance: int = DISTANCE, found: DataFrame | None = None) -> DataFrame:
-    """The rows of ``df``, all columns, whose id is the smallest of its group; rows of one id are one document.
-
-    Groups are those of ``found(id_col, component_id)`` where it is given.
-    """
-    found = near_duplicates(df, id_col, text_col, distance) if found is None else found
-    kept = cut(found.where(F.col(id_col).eqNullSafe(F.col("component_id"))).groupBy(F.col(id_col).alias("id")).agg(F.count("*").alias("rows")))
-    numbered = df.toDF(*[f"k{i}" for i in range(len(df.columns))])  # no name of the table can clash
-    own = f"k{df.columns.index(id_col)}"
-    rows = numbered.join(kept, F.col(own).eqNullSafe(F.col("id")))
-    once = rows.where("rows = 1").select(*numbered.columns)
-    return once.unionByName(rows.where("rows > 1").dropDuplicates([own]).select(*numbered.columns)).toDF(*df.columns)
+    labels = cut(nodes.join(far, "fp", "left").select("fp", "copies", F.coalesce("component_id", "least").alias("component_id")))
+    # At most CROWDS fingerprints have so many copies: they are broadcast, and no other fills a task.
+    crowded = labels.where(F.col("copies") * CROWDS > prints.count())
+    rows = prints.join(F.broadcast(crowded.select("fp", F.col("component_id").alias("known"), F.lit(True).alias("met"))), "fp", "left")
+    rest = rows.where("met IS NULL").select(id_col, "fp").join(labels.select("fp", "component_id"), "fp")
+    return rows.where("met").select(id_col, "fp", F.col("known").alias("component_id")).unionByName(rest.select(id_col, "fp", "component_id"))
 
 
 def hex_digits(column):
