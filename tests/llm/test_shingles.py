@@ -1,8 +1,10 @@
 """The pipeline's near-duplicate stage against brute-force shingle similarity."""
 
+import numpy as np
 import pytest
 
 import corpus_pipeline
+from versicle.llm import shingles
 
 SF = "/root/testdata/sf0.001"
 
@@ -51,3 +53,32 @@ def test_stage_equals_brute_force(spark, given):
     kept = stage(spark, docs, SF)
     assert kept.columns == docs.columns
     assert sorted(r.doc_id for r in kept.collect()) == sorted(i for i in group if group[i] == i)
+
+
+def test_similar_sets_share_a_key_and_chance_does_not():
+    rng = np.random.default_rng(5)
+    sets_of = lambda n: np.unique(rng.integers(0, 2**64, n, np.uint64))
+    for n in [1, 2, 3, 4, 5, 9, 20, 25, 26, 31, 32, 33, 39, 40, 90, 179, 200, 500, 1000]:
+        for _ in range(30):
+            a = sets_of(n)
+            gone = rng.integers(0, n // 5 + 1)
+            most = (n - gone) * 5 // 4 - n  # added ones that keep a similarity of 4/5
+            b = np.union1d(rng.permutation(a)[gone:], sets_of(rng.integers(0, most + 1)))
+            if shingles.alike(a, b):
+                weights = [np.where(s % np.uint64(3) == 0, shingles.RARE, 1 + (s % np.uint64(900)).astype(np.int64)) for s in (a, b)]
+                assert len(np.intersect1d(shingles.keys(a, weights[0]), shingles.keys(b, weights[1]))), (n, len(b))
+    # Unlike texts with a tenth of their shingles from a common stock: nearly every pair shares some, and few pairs share a key.
+    stock = sets_of(2000)
+    crowd = [np.union1d(sets_of(360), rng.choice(stock, 40, replace=False)) for _ in range(200)]
+    found = [shingles.keys(s, np.full(len(s), shingles.RARE)) for s in crowd]
+    pairs = [(i, j) for i in range(200) for j in range(i)]
+    assert sum(len(np.intersect1d(found[i], found[j])) > 0 for i, j in pairs) < len(pairs) // 50
+    assert sum(len(np.intersect1d(crowd[i], crowd[j])) > 0 for i, j in pairs) > len(pairs) // 2
+
+
+def test_links_are_joined_on_the_driver_as_they_are_apart(spark, monkeypatch):
+    rng = np.random.default_rng(6)
+    links = spark.createDataFrame([tuple(map(int, rng.choice(60, 2, replace=False))) for _ in range(40)], "u long, v long")
+    here = sorted(map(tuple, shingles._components(links).collect()))
+    monkeypatch.setattr(shingles, "SMALL", 0)
+    assert here == sorted(map(tuple, shingles._components(links).collect()))

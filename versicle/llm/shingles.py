@@ -3,13 +3,16 @@
 SimHash comes first: documents whose fingerprints over these shingles are within ``DISTANCE`` bits meet by the
 generalised pigeonhole of ``simhash``. At a similarity of 4/5, though, two fingerprints differ in about ten of 64
 bits, and no partitioning of 64 bits finds such pairs at a bearable cost; so the rest is found on the sets themselves:
-two sets with similarity of at least 4/5 share a shingle among the first ``n // 5 + 1`` of each under any one order
-of all shingles, so documents meet at the shingles of these prefixes. The order puts shingles that a bounded sample
-holds often last; the sample steers cost only. Pairs that meet are dropped by two bounds that no similar pair can
+two sets of n and m shingles with a similarity of at least 4/5 differ in at most ``(n + m) / 9`` of them. The range of hashes is
+cut into parts, about two shingles each; a shingle by which two sets differ changes one part, so of all parts at most as
+many differ, and of the first ``n // 4 + 1`` of each set, under any one order of what parts hold, one at least is equal. What
+holds much that is rare comes first, by the counts of a bounded sample, which steer cost only: unlike texts of few words share
+single shingles by chance, ever more of them with the square of a table, but seldom whole parts. Sets of fewer than
+``FEW`` shingles meet at single ones, the first ``n // 5 + 1``. Pairs that meet are dropped by two bounds that no similar pair can
 break (the sets' sizes, and parity bits, three or more a shingle, which differ at most as often as the sets do), and
 the rest is verified on the sets.
 
-Each shingle first links its documents to the most central of them, the one that shares most of its prefix, and then
+Each key first links its documents to the most central of them, the one that shares most of its keys, and then
 to the most central outside that one's component. Only pairs that these links leave in different components are then
 compared, dealt to parts of bounded size, so a crowd of copies costs about its size, not its square.
 
@@ -38,6 +41,12 @@ DISTANCE = 2
 #: Documents that steer the order, and the shingles of theirs that are put last.
 SAMPLE = 4000
 FREQUENT = 200_000
+#: Sets of fewer shingles are not parted.
+FEW = 32
+#: The weight of a shingle that the sample holds once at most.
+RARE = 1000
+#: Parity bits, as 64-bit words, by which a key's documents are compared where they meet.
+SKETCH = 8
 #: Rows of keys, without texts, that are broadcast at most so that texts need not move to meet them (about 60 bytes a row).
 SMALL = 200_000
 #: Members compared with one document in one group of rows, and of a shingle's documents in one part.
@@ -73,13 +82,58 @@ def alike(a: np.ndarray, b: np.ndarray) -> bool:
     return OF * both >= SHARE * (len(a) + len(b) - both)
 
 
-def parity(held: np.ndarray) -> np.ndarray:
-    """Parity bits of a set of hashes, at least three for each and a power of two, as 64-bit words."""
-    bits = max(64, 1 << (3 * len(held) - 1).bit_length())
+def parity(held: np.ndarray, words: int | None = None) -> np.ndarray:
+    """Parity bits of a set of hashes, as ``words`` 64-bit words; without these at least three bits for each hash and a power of two."""
+    bits = 64 * words if words else max(64, 1 << (3 * len(held) - 1).bit_length())
     odd = np.bincount((held & np.uint64(bits - 1)).astype(np.int64), minlength=bits) & 1
     return np.packbits(odd.astype(np.uint8)).view(np.int64)
 
 
+def _mixed(h: np.ndarray) -> np.ndarray:
+    with np.errstate(over="ignore"):
+        h = (h ^ (h >> np.uint64(31))) * np.uint64(0x7FB5D329728EA185)
+        h = (h ^ (h >> np.uint64(27))) * np.uint64(0x81DADEF4BC2DD44D)
+        return h ^ (h >> np.uint64(33))
+
+
+def _parts(n: int) -> int:
+    """Parts of the hash range for sets of ``n``, a power of two; 0: a set is too small, its shingles are taken one by one."""
+    return 1 << (5 * n // 14).bit_length() if n >= FEW else 0
+
+
+def _part_keys(held: np.ndarray, weight: np.ndarray, parts: int) -> tuple[np.ndarray, np.ndarray]:
+    """A key and a weight for what each of ``parts`` parts holds; the key of an empty part is its own.
+
+    Rare shingles add up; of those known to be frequent only the rarest counts, as passages that many texts hold bring them together.
+    """
+    at = (held & np.uint64(parts - 1)).astype(np.int64)
+    order = np.argsort(at, kind="stable")
+    there, starts = np.unique(at[order], return_index=True)
+    made = np.arange(parts, dtype=np.uint64)
+    with np.errstate(over="ignore"):
+        made[there] = np.add.reduceat(_mixed(held)[order], starts)
+        made = _mixed(made + np.uint64(parts) * np.uint64(0x9E3779B97F4A7C15))
+    most = np.zeros(parts, np.int64)
+    most[there] = np.maximum.reduceat(np.where(weight < RARE, weight, 0)[order], starts)
+    return made, most + RARE * np.bincount(at[weight == RARE], minlength=parts)
+
+
+def keys(held: np.ndarray, weight: np.ndarray) -> np.ndarray:
+    """Keys of a set of shingles, one of which at least any similar set has too; ``weight`` is a shingle's rarity, in whole numbers up to ``RARE``.
+
+    Sets of n and m that are similar differ in at most ``(n + m) / 9`` shingles, so of any parts at most as many differ. A pair of two sizes meets
+    by the parts of the larger, so a set goes by its own and by those of the largest that can be similar to it.
+    """
+    n = len(held)
+    most = n * OF // SHARE
+    found = []
+    for parts in {_parts(n), _parts(most)}:
+        made, rare = _part_keys(held, weight, parts) if parts else (_mixed(held), weight)
+        few = (OF - SHARE) * (n + most) // (OF + SHARE) + 1 if parts else n - -(-n * SHARE // OF) + 1
+        found.append(made[np.lexsort((made, -rare))[:few]])
+    return np.unique(np.concatenate(found))
+
+
 def frequent(df: DataFrame, n: int, words: int = WORDS, sample: int = SAMPLE) -> tuple[np.ndarray, np.ndarray]:
     """Shingles that several of about ``sample`` documents hold, sorted, and how many do; ``df`` has ``text``."""
     some = df.select("text").where(F.pmod(F.xxhash64("text"), F.lit(max(1, n // sample))) == 0)
@@ -98,28 +152,29 @@ def frequent(df: DataFrame, n: int, words: int = WORDS, sample: int = SAMPLE) ->
 
 
 def _prints(df: DataFrame, often: tuple[np.ndarray, np.ndarray], words: int) -> DataFrame:
-    """``id, k, fp, n, parity, prefix`` for ``df(id, k, text)``."""
+    """``id, k, fp, n, parity, sketch, keys`` for ``df(id, k, text)``."""
     known, counts = often
+    rare = np.maximum(1, RARE - np.rint(64 * np.log2(np.maximum(counts, 2))).astype(np.int64))
 
     def made(batches):
         cache = _word_hashes()
         for batch in batches:
-            fps, sizes, parities, prefixes = [], [], [], []
+            fps, sizes, parities, sketches, met = [], [], [], [], []
             for text in batch["text"].to_pylist():
                 held = shingles(text, cache, words)
-                rank = np.zeros(len(held), np.int64)
+                weight = np.full(len(held), RARE)
                 if len(known):
                     at = np.minimum(np.searchsorted(known, held), len(known) - 1)
-                    rank = np.where(known[at] == held, counts[at], 0)
-                first = np.lexsort((held, rank))[: len(held) - -(-len(held) * SHARE // OF) + 1]
+                    weight = np.where(known[at] == held, rare[at], RARE)
                 fps.append(simhash.fingerprint_of(text, words))
                 sizes.append(len(held))
                 parities.append(parity(held))
-                prefixes.append(held[first].view(np.int64))
-            lists = [pa.array(v, pa.list_(pa.int64())) for v in (parities, prefixes)]
-            yield pa.RecordBatch.from_arrays([batch["id"], batch["k"], pa.array(np.array(fps, np.uint64).view(np.int64)), pa.array(sizes, pa.int64()), *lists], ["id", "k", "fp", "n", "parity", "prefix"])
+                sketches.append(parity(held, SKETCH))
+                met.append(keys(held, weight).view(np.int64))
+            lists = [pa.array(v, pa.list_(pa.int64())) for v in (parities, sketches, met)]
+            yield pa.RecordBatch.from_arrays([batch["id"], batch["k"], pa.array(np.array(fps, np.uint64).view(np.int64)), pa.array(sizes, pa.int64()), *lists], ["id", "k", "fp", "n", "parity", "sketch", "keys"])
 
-    return df.mapInArrow(thrifty(made), f"id {df.schema['id'].dataType.simpleString()}, k binary, fp long, n long, parity array<long>, prefix array<long>")
+    return df.mapInArrow(thrifty(made), f"id {df.schema['id'].dataType.simpleString()}, k binary, fp long, n long, parity array<long>, sketch array<long>, keys array<long>")
 
 
 def _folded(bits: Column, words: Column) -> Column:
@@ -130,13 +185,14 @@ def _folded(bits: Column, words: Column) -> Column:
 
 def possible(pairs: DataFrame, slim: DataFrame) -> DataFrame:
     """The ``pairs(u, v)`` that sizes and parity bits don't rule out; ``slim`` has ``node, n, parity``."""
-    a, b = (slim.select(F.col("node").alias(side), F.col("n").alias(f"n_{side}"), F.col("parity").alias(f"p_{side}")) for side in ("u", "v"))
+    # Each side's bits go to the pairs, not the pairs to all bits.
+    of = lambda side: slim.join(_small(pairs), F.col("node") == F.col(side)).select("u", "v", F.col("n").alias(f"n_{side}"), F.col("parity").alias(f"p_{side}"))
     n, m = F.col("n_u"), F.col("n_v")
     words = F.least(F.size("p_u"), F.size("p_v"))  # sizes in proportion: one is at most twice the other
     apart = F.zip_with(_folded(F.col("p_u"), words), _folded(F.col("p_v"), words), lambda x, y: F.bit_count(x.bitwiseXOR(y)))
     differ = F.aggregate(apart, F.lit(0), lambda s, x: s + x)
     fits = F.when(OF * F.least(n, m) < SHARE * F.greatest(n, m), False).otherwise((OF + SHARE) * differ <= (OF - SHARE) * (n + m))
-    return pairs.join(a, "u").join(b, "v").where(fits).select("u", "v")
+    return of("u").join(of("v"), ["u", "v"]).where(fits).select("u", "v")
 
 
 def _small(df: DataFrame) -> DataFrame:
@@ -144,14 +200,16 @@ def _small(df: DataFrame) -> DataFrame:
     return F.broadcast(df) if df.count() <= SMALL else df
 
 
-def verified(pairs: DataFrame, texts: DataFrame, words: int = WORDS) -> DataFrame:
-    """The ``pairs(u, v)`` whose texts are alike; ``texts`` has ``node, text``."""
-    blocks = pairs.groupBy("u").agg(F.ceil(F.count("*") / BLOCK).alias("blocks"))
-    placed = pairs.join(blocks, "u").select("u", F.pmod(F.xxhash64("v"), F.col("blocks")).alias("block"), "v")
-    # A document's text goes once to each block where it is the hub (v is null there) or a member.
-    hubs = placed.select("u", "block", F.lit(None).cast("long").alias("v"), F.col("u").alias("who")).distinct()
-    roles = _small(cut(placed.withColumn("who", F.col("v")).unionByName(hubs)))
-    rows = texts.join(roles, F.col("node") == F.col("who")).select("u", "block", "v", "text")
+def verified(pairs: DataFrame, docs: DataFrame, named: DataFrame, words: int = WORDS) -> DataFrame:
+    """The checkpointed ``pairs(u, v)`` whose texts are alike, by ``docs(id, k, text)`` and their ``named(node, nk, least, copies)``."""
+    few = pairs.count() <= SMALL
+    blocks = F.ceil(F.count("*").over(Window.partitionBy("u")) / BLOCK)
+    placed = pairs.withColumn("blocks", blocks).groupBy("u", F.pmod(F.xxhash64("v"), F.col("blocks")).alias("block")).agg(F.collect_list("v").alias("vs"))
+    # A document's text goes once to each block where it is the hub (v is null there) or a member, and no other text moves.
+    roles = placed.select("u", "block", F.explode(F.concat(F.array(F.lit(None).cast("long")), "vs")).alias("v")).withColumn("who", F.coalesce("v", "u"))
+    roles = _small(cut(named.join(F.broadcast(roles) if few else roles, F.col("node") == F.col("who"))))
+    found = docs.join(roles, (F.col("k") == F.col("nk")) & F.col("id").eqNullSafe(F.col("least"))).select("copies", "u", "block", "v", "text")
+    rows = found.where("copies = 1").unionByName(found.where("copies > 1").dropDuplicates(["u", "block", "v"]))
     rows = rows.repartition("u", "block").sortWithinPartitions("u", "block", F.asc_nulls_first("v"))
 
     def made(batches):
@@ -170,77 +228,89 @@ def verified(pairs: DataFrame, texts: DataFrame, words: int = WORDS) -> DataFram
     return rows.select("u", "v", "text").mapInArrow(thrifty(made), "u long, v long")
 
 
+def _components(links: DataFrame) -> DataFrame:
+    """``node, component`` of checkpointed ``links(u, v)``: at most ``SMALL`` are joined on the driver, which takes no shuffles, and more by ``components``."""
+    if links.count() > SMALL:
+        return components(links)
+    above: dict[int, int] = {}
+
+    def top(x: int) -> int:
+        while (up := above.setdefault(x, x)) != x:
+            above[x] = x = above[up]
+        return x
+
+    for u, v in links.toArrow().to_pandas().itertuples(index=False):
+        u, v = top(u), top(v)
+        above[max(u, v)] = min(u, v)
+    columns = [pa.array(list(above), pa.int64()), pa.array([top(x) for x in list(above)], pa.int64())]
+    return F.broadcast(links.sparkSession.createDataFrame(pa.Table.from_arrays(columns, ["node", "component"])))
+
+
 def _by_component(posts: DataFrame, links: DataFrame) -> DataFrame:
-    """``x, node, n, central, c`` of the documents of shingles whose documents are in several components."""
-    found = components(links).withColumnsRenamed({"node": "far"})
+    """``x, node, n, central, c, held`` of the documents of keys whose documents are in several components, and how many these are."""
+    found = _components(links).withColumnsRenamed({"node": "far"})
     rows = posts.join(found, F.col("node") == F.col("far"), "left").withColumn("c", F.coalesce("component", "node"))
     over = Window.partitionBy("x")
-    rows = rows.withColumns({"lo": F.min("c").over(over), "hi": F.max("c").over(over)}).where("lo <> hi")
-    return rows.select("x", "node", "n", "central", "c")
+    rows = rows.withColumns({"lo": F.min("c").over(over), "hi": F.max("c").over(over), "held": F.count("*").over(over)}).where("lo <> hi")
+    return rows.select("x", "node", "n", "central", "c", "held")
 
 
 def _star(rows: DataFrame, second: bool) -> DataFrame:
-    """Pairs of each shingle's most central document (with ``second``: the most central outside its component) with those of other components."""
-    order = lambda: F.struct(F.col("central"), (-F.col("node")).alias("minus"), F.col("c"))
-    hubs = rows.groupBy("x").agg(F.max(order()).alias("hub"))
+    """Pairs of each key's most central document (with ``second``: the most central outside its component) with those of other components."""
+    over, order = Window.partitionBy("x"), F.struct(F.col("central"), (-F.col("node")).alias("minus"), F.col("c"))
+    rows = rows.withColumn("hub", F.max(order).over(over))
     if second:
-        rest = rows.join(hubs.select("x", F.col("hub.c").alias("first")), "x").where(F.col("c") != F.col("first"))
-        hubs = rest.groupBy("x").agg(F.max(order()).alias("hub"))
-    met = rows.join(hubs, "x").where(F.col("c") != F.col("hub.c"))
+        rows = rows.withColumn("hub", F.max(F.when(F.col("c") != F.col("hub.c"), order)).over(over))
     hub, node = -F.col("hub.minus"), F.col("node")
-    return met.select(F.least(hub, node).alias("u"), F.greatest(hub, node).alias("v")).distinct()
+    return rows.where(F.col("c") != F.col("hub.c")).select(F.least(hub, node).alias("u"), F.greatest(hub, node).alias("v")).distinct()
 
 
-def _rest(rows: DataFrame) -> DataFrame:
-    """Pairs of documents of one shingle in different components, of sizes that allow it; a shingle's documents are dealt to parts."""
-    sizes = rows.groupBy("x").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("parts"))
-    dealt = rows.join(sizes, "x")
-    a = dealt.select("x", F.pmod(F.xxhash64("node"), F.col("parts")).cast("int").alias("part"), F.col("node").alias("u"), F.col("n").alias("n_u"), F.col("c").alias("c_u"))
-    b = dealt.select("x", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), F.col("node").alias("v"), F.col("n").alias("n_v"), F.col("c").alias("c_v"))
-    fits = (F.col("c_u") != F.col("c_v")) & (F.col("u") < F.col("v")) & (OF * F.least("n_u", "n_v") >= SHARE * F.greatest("n_u", "n_v"))
+def _rest(rows: DataFrame, sketches: DataFrame) -> DataFrame:
+    """Pairs of documents of one key in different components that sizes and ``sketches(node, sketch)`` allow; a key's documents are dealt to parts."""
+    dealt = rows.join(sketches, "node").withColumn("parts", F.ceil(F.col("held") / BLOCK).cast("int"))
+    side = lambda name, part: dealt.select("x", part.alias("part"), F.col("node").alias(name), *[F.col(c).alias(f"{c}_{name}") for c in ("n", "c")], *[F.col("sketch")[i].alias(f"s{i}_{name}") for i in range(SKETCH)])
+    a = side("u", F.pmod(F.xxhash64("node"), F.col("parts")).cast("int"))
+    b = side("v", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+    n, m = F.col("n_u"), F.col("n_v")
+    differ = sum((F.bit_count(F.col(f"s{i}_u").bitwiseXOR(F.col(f"s{i}_v"))) for i in range(SKETCH)), F.lit(0))
+    fits = (F.col("c_u") != F.col("c_v")) & (F.col("u") < F.col("v")) & (OF * F.least(n, m) >= SHARE * F.greatest(n, m)) & ((OF + SHARE) * differ <= (OF - SHARE) * (n + m))
     return a.join(b, ["x", "part"]).where(fits).select("u", "v").distinct()
 
 
 def grouped(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = WORDS) -> tuple[DataFrame, DataFrame]:
-    """Every row's ``id`` and the digest ``k`` of its text, and ``k, least, copies, component, component_id`` of every digest."""
+    """Every row's ``id`` and the digest ``k`` of its text, and ``k, least, copies, component`` of every digest."""
     bound_batches(df.sparkSession)
     text = F.coalesce(F.col(text_col), F.lit(""))
     docs = df.select(F.col(id_col).alias("id"), F.unhex(F.md5(text)).alias("k"), text.alias("text"))
     prints = _prints(docs, frequent(docs, docs.count(), words), words)
-    first = [F.first(c).alias(c) for c in ("fp", "n", "parity", "prefix")]  # equal for equal texts
+    first = [F.first(c).alias(c) for c in ("fp", "n", "parity", "sketch", "keys")]  # equal for equal texts
     nodes = cut(prints.groupBy("k").agg(F.min("id").alias("least"), F.count("*").alias("copies"), *first).withColumn("node", F.monotonically_increasing_id()))
     slim = nodes.select("node", "n", "parity")
-    # Nearly every shingle is one document's own, so a grouped count would shuffle them all for nothing.
-    shared = nodes.select("node", F.explode("prefix").alias("x")).withColumn("held", F.count("*").over(Window.partitionBy("x")))
-    posts = cut(shared.where("held > 1").select("node", "x"))
-    central = posts.groupBy("node").agg(F.count("*").alias("met")).join(nodes.select("node", "n"), "node")
-    posts = cut(posts.join(central, "node").select("x", "node", "n", (F.col("met") / (F.col("n") - F.ceil(F.col("n") * SHARE / OF) + 1)).alias("central")))
-    # Texts move only to those they are compared with: the keys of nodes that meet others.
-    by_print = nodes.groupBy("fp").agg(F.min("node").alias("u"), F.count("*").alias("same"))
-    by_print = cut(by_print)
-    same = nodes.join(by_print.where("same > 1"), "fp").where("node <> u").select("u", F.col("node").alias("v"))
-    near_prints = simhash.links(by_print.select("fp"), DISTANCE)
-    reps = by_print.select("fp", "u")
-    close = near_prints.join(reps.select(F.col("fp").alias("u"), F.col("u").alias("a")), "u").join(reps.select(F.col("fp").alias("v"), F.col("u").alias("b")), "v")
-    close = close.select(F.least("a", "b").alias("u"), F.greatest("a", "b").alias("v")).unionByName(same)
-    met = posts.select("node").union(close.select("u")).union(close.select("v")).distinct()
-    keys = _small(cut(nodes.join(met, "node", "left_semi").select("node", F.col("k").alias("nk"), "least", "copies")))
-    own = docs.join(keys, (F.col("k") == F.col("nk")) & F.col("id").eqNullSafe(F.col("least")))
-    texts = own.where("copies = 1").select("node", "text").unionByName(own.where("copies > 1").select("node", "text").dropDuplicates(["node"]))
-    check = lambda pairs: cut(verified(cut(possible(pairs, slim)), texts, words))
+    # Nearly every key is one document's own, so a grouped count would shuffle them all for nothing.
+    shared = nodes.select("node", "n", F.size("keys").alias("all"), F.explode("keys").alias("x")).withColumn("held", F.count("*").over(Window.partitionBy("x")))
+    met = F.count("*").over(Window.partitionBy("node"))
+    posts = cut(shared.where("held > 1").withColumn("central", met / F.col("all")).select("x", "node", "n", "central"))
+    by_print = cut(nodes.groupBy("fp").agg(F.min("node").alias("u"), F.count("*").alias("same")))
+    same = nodes.join(_small(cut(by_print.where("same > 1"))), "fp").where("node <> u").select("u", F.col("node").alias("v"))
+    near_prints = _small(cut(simhash.links(by_print.select("fp"), DISTANCE).withColumnsRenamed({"u": "p", "v": "q"})))
+    of = lambda side, name: by_print.join(near_prints, F.col("fp") == F.col(side)).select("p", "q", F.col("u").alias(name))
+    close = of("p", "a").join(of("q", "b"), ["p", "q"]).select(F.least("a", "b").alias("u"), F.greatest("a", "b").alias("v")).unionByName(same)
+    named = nodes.select("node", F.col("k").alias("nk"), "least", "copies")
+
+    check = lambda pairs: cut(verified(cut(possible(cut(pairs), slim)), docs, named, words))
     near = check(close)
     for second in (False, True):
-        near = cut(near.unionByName(check(_star(_by_component(posts, near), second))))
-    near = near.unionByName(check(_rest(cut(_by_component(posts, near)))))
-    found = components(near)
-    named = nodes.select("node", "k", "least", "copies").join(found, "node", "left").withColumn("component", F.coalesce("component", "node"))
-    smallest = named.groupBy("component").agg(F.min("least").alias("component_id"))
-    return docs.select("id", "k"), named.join(smallest, "component").select("k", "least", "copies", "component", "component_id")
+        near = near.unionByName(check(_star(_by_component(posts, near), second)))
+    near = near.unionByName(check(_rest(_by_component(posts, near), nodes.select("node", "sketch"))))
+    found = _components(near)
+    return docs.select("id", "k"), nodes.select("node", "k", "least", "copies").join(found, "node", "left").withColumn("component", F.coalesce("component", "node"))
 
 
 def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = WORDS) -> DataFrame:
     """``id_col, component_id``: the smallest id reachable over pairs that are alike, for every row."""
     docs, labels = grouped(df, id_col, text_col, words)
+    smallest = labels.groupBy("component").agg(F.min("least").alias("component_id"))
+    labels = labels.join(smallest, "component")
     return docs.join(labels.select("k", "component_id"), "k").select(F.col("id").alias(id_col), "component_id")
 
 
@@ -248,7 +318,7 @@ def representatives(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     """One row of each group, all columns: the one with the smallest id (nulls last), then the smallest digest of its text; of equal rows, any one."""
     _, labels = grouped(df, id_col, text_col, words)
     least = labels.groupBy("component").agg(F.min(F.struct(F.col("least").isNull().alias("none"), "least", "k", "copies")).alias("one"))
-    kept = cut(least.select("one.least", "one.k", "one.copies"))
+    kept = _small(cut(least.select("one.least", "one.k", "one.copies")))
     numbered = df.toDF(*[f"c{i}" for i in range(len(df.columns))])  # no name of the table can clash
     own, text = (F.col(f"c{df.columns.index(c)}") for c in (id_col, text_col))
     rows = numbered.join(kept, (F.unhex(F.md5(F.coalesce(text, F.lit("")))) == F.col("k")) & own.eqNullSafe(F.col("least")))
