@@ -2,53 +2,18 @@
 
 from __future__ import annotations
 
-import ctypes
 from collections.abc import Callable
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from versicle.sources.shared import checkpoint_dir, cut
+from versicle.sources.shared import BATCH_BYTES, BATCH_ROWS, bound_batches, checkpoint_dir, cut, drop_folder, thrifty
 
 __all__ = ["BATCH_BYTES", "BATCH_ROWS", "ListTable", "PieceCache", "bound_batches", "checkpoint_dir", "cut", "drop_folder", "gather", "held_out", "one_row_each", "split_words", "thrifty"]
 
-#: Bounds of an Arrow batch sent to a Python worker. One row may exceed the bytes; a batch of many may not.
-BATCH_ROWS = 1024
-BATCH_BYTES = 2 << 20
-
-
-def bound_batches(spark: SparkSession) -> None:
-    """Bound what a Python worker receives at once, so that long texts cannot pile up in one batch.
-
-    The session's bounds are lowered to these and stay so, as plans read them when they run; lower ones are kept.
-    """
-    for key, most in (("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS), ("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)):
-        now = spark.conf.get(key).removesuffix("b")
-        if not (now.isdigit() and 0 < int(now) <= most):
-            spark.conf.set(key, str(most))
-
-
-def thrifty(made: Callable) -> Callable:
-    """A function for ``mapInArrow`` whose worker, which later tasks use again, returns the memory of a task at its end."""
-
-    def run(batches):
-        pa.set_memory_pool(pa.system_memory_pool())
-        yield from made(batches)
-        trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
-        if trim is not None:  # glibc keeps freed memory otherwise
-            trim(0)
-
-    return run
-
-
-def drop_folder(spark: SparkSession, folder: str) -> None:
-    """Delete a folder on whatever file system holds it."""
-    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
-    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
-
 
 class PieceCache(dict):
     """A bounded memo of ``encode`` over repeated short strings.
